@@ -93,3 +93,31 @@ def components(edges: DataFrame) -> DataFrame:
             break
         was = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def plain_words(text: Column) -> Column:
+    """Words of letters, digits and non-ASCII characters, A-Z lowered; null: none."""
+    return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
+
+
+def word_grams(words: Column, size: int) -> Column:
+    """gram_hashes of any expression for words."""
+    return let(words, lambda w: gram_hashes(w, size))
+
+
+def gram_hashes(words: Column, size: int) -> Column:
+    """64-bit hashes of all word n-grams, by position; words must be a lambda's variable or a column, not an expression."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(F.lit(size), *(F.get(words, i + j) for j in range(size))))
+    return F.when(F.size(words) >= size, grams).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Names a row by id and text, so that repeated ids with other texts stay apart."""
+    return [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk")]
+
+
+def same_row(left: DataFrame, right: DataFrame):
+    return left["id"].eqNullSafe(right["id"]) & (left["tk"] == right["tk"])

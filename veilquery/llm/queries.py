@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilquery.llm import simhash_dedup, url_filter
+from veilquery.llm import decontaminate, license_scan, packing, simhash_dedup, url_filter
 from veilquery.llm.common import table
 
 #: The rules of the URL query.
@@ -17,14 +17,44 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op6_url_filters)}
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op6_url_filters, op8_license_scans, op10_best_fit_packing)}
 
 SQL = {
+    "op2_benchmark_decontamination": r"""
+WITH texts AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+items AS (
+  SELECT item_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS span
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+hits AS (
+  SELECT DISTINCT t.id, t.i, t.n, win.id AS item
+  FROM (SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS span FROM (SELECT id, w, n, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS i FROM texts, lens WHERE len(w) >= n)) t JOIN win ON win.n = t.n AND win.span = t.span),
+words AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY id),
+named AS (SELECT id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item::VARCHAR))), ',') AS names FROM hits GROUP BY id)
+SELECT t.id AS doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t.w) AS contaminated
+FROM texts t LEFT JOIN words USING (id) LEFT JOIN named USING (id)
+""",
     "op6_url_filters": r"""
 WITH rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 parts AS (

@@ -119,5 +119,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk")]
 
 
-def same_row(left: DataFrame, right: DataFrame):
-    return left["id"].eqNullSafe(right["id"]) & (left["tk"] == right["tk"])
+def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the row key (id, tk), a null id being equal to itself; only the left key stays."""
+    right = right.withColumnsRenamed({"id": "right_id", "tk": "right_tk"})
+    return left.join(right, F.col("id").eqNullSafe(F.col("right_id")) & (F.col("tk") == F.col("right_tk")), how).drop("right_id", "right_tk")

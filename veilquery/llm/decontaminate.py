@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import gram_hashes, let, plain_words, row_key, same_row, staged, word_grams
+from veilquery.llm.common import gram_hashes, join_rows, let, plain_words, row_key, staged, word_grams
 
 
 def winnowed(words: Column, window: int, gram: int) -> Column:
@@ -46,7 +46,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     mine = _union(rows.select("id", "tk", F.lit(n).alias("len"), F.explode(winnowed(F.col("words"), n, g)).alias("h")) for n, g in grams.items())
     shared = staged(mine.join(prints, ["len", "h"], "left_semi").select("id", "tk").distinct())
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
-    texts = texts.join(shared, same_row(texts, shared), "left_semi").dropDuplicates(["id", "tk"])
+    texts = join_rows(texts, shared, "left_semi").dropDuplicates(["id", "tk"])
     texts = texts.select("id", "tk", plain_words(F.col("t")).alias("words"))
     # each place of a shared gram is extended to the windows around it, which are compared as text
     hits = []
@@ -71,8 +71,7 @@ def _report(counts: DataFrame, id_col: str, covers: DataFrame | None, found: Dat
     if covers is None:
         out = counts.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.lit("")})
     else:
-        both = covers.join(found, same_row(covers, found)).select(covers["id"], covers["tk"], "n_hit", "n_items", "items")
-        out = counts.join(both, same_row(counts, both), "left").select(counts["id"], "n_words", "n_hit", "n_items", "items")
+        out = join_rows(counts, join_rows(covers, found), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         F.col("id").alias(id_col),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import let, plain_words, row_key, same_row, word_grams
+from veilquery.llm.common import join_rows, let, plain_words, row_key, word_grams
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -46,9 +46,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     merged = merged.join(F.broadcast(forms), "tpl").where(F.col("n") >= F.lit(least / 2) * (F.size("form") - (gram - 1)))
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     wanted = merged.select("id", "tk").distinct()
-    texts = texts.join(wanted, same_row(texts, wanted), "left_semi")
+    texts = join_rows(texts, wanted, "left_semi")
     texts = texts.dropDuplicates(["id", "tk"]).select("id", "tk", plain_words(F.col("t")).alias("words"))
-    spans = merged.join(texts, same_row(merged, texts)).select(merged["id"], merged["tk"], "label", "form", "diagonals", "words")
+    spans = join_rows(merged, texts)
     stands = F.size(F.filter(F.sequence(F.lit(0), F.size("form") - 1), lambda j: F.exists("diagonals", lambda d: (d + j >= 0) & (F.get("words", d + j) == F.get("form", j)))))
     spans = spans.withColumn("share", stands / F.size("form")).where(F.col("share") >= least)
     found = spans.groupBy("id", "tk").agg(F.collect_set("label").alias("extra"), F.max("share").alias("share"))
@@ -60,7 +60,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     which = lambda w, i: F.coalesce(*(F.when(_all(here(w, i, phrase)), F.struct(i.alias("at"), F.lit(label).alias("label"))) for phrase, label in PHRASES))
     base = F.when(likely, let(F.col("words"), lambda w: F.array_compact(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: which(w, i)))))
     own = rows.select("id", "tk", F.size("words").cast("long").alias("n_words"), base.alias("base"))
-    out = own.join(found, same_row(own, found), "left").select(own["id"], "n_words", F.coalesce("base", F.expr("cast(array() as array<struct<at:int,label:string>>)")).alias("base"), F.coalesce("extra", F.expr("cast(array() as array<string>)")).alias("extra"), "share")
+    out = join_rows(own, found, "left").select("id", "n_words", F.coalesce("base", F.expr("cast(array() as array<struct<at:int,label:string>>)")).alias("base"), F.coalesce("extra", F.expr("cast(array() as array<string>)")).alias("extra"), "share")
     labels = F.transform("base", lambda x: x["label"])
     return out.select(
         F.col("id").alias(id_col),

@@ -97,7 +97,7 @@ class RunLengthIndex:
         key, open_ = np.zeros(n, np.uint64), np.ones(n, bool)
         for i in range(7):  # 9 bits a symbol
             s = np.zeros(n, np.uint64)
-            s[: n - i] = self.symbols[i:]
+            s[: max(0, n - i)] = self.symbols[i:]
             key = key << np.uint64(9) | np.where(open_ & (self.room >= i), s, 0).astype(np.uint64)
         length, ranks = 7, []
         while True:

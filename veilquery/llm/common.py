@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,3 +126,22 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     """Join on the row key (id, tk), a null id being equal to itself; only the left key stays."""
     right = right.withColumnsRenamed({"id": "right_id", "tk": "right_tk"})
     return left.join(right, F.col("id").eqNullSafe(F.col("right_id")) & (F.col("tk") == F.col("right_tk")), how).drop("right_id", "right_tk")
+
+
+def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
+    """64-bit hashes of all word shingles by position, mixed from the words' own hashes; fewer words: of the whole sequence; none: empty."""
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if len(w) == 0:
+        return w
+    size = min(size, len(w))
+    n, p = len(w) - size + 1, np.uint64(0x9E3779B185EBCA87)
+    with np.errstate(over="ignore"):
+        h = np.full(n, 42, np.uint64)
+        for j in range(size):
+            h = (h ^ w[j : j + n]) * p
+            h ^= h >> np.uint64(31)
+    return h
+
+
+def record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)

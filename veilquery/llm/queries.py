@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilquery.llm import decontaminate, fingerprints, license_scan, packing, quality, simhash_dedup, suffix_dedup, suffix_tree_lm, url_filter
+from veilquery.llm import decontaminate, fingerprints, license_scan, packing, passage_dedup, quality, simhash_dedup, suffix_dedup, suffix_tree_lm, url_filter
 from veilquery.llm.common import table
 
 #: The rules of the URL query.
@@ -33,6 +33,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_quality_classifier, op4_document_fingerprints, op5_suffix_array_dedup, op6_url_filters, op7_lm_scoring, op8_license_scans, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_quality_classifier, op4_document_fingerprints, op5_suffix_array_dedup, op6_url_filters, op7_lm_scoring, op8_license_scans, op9_substring_dedup, op10_best_fit_packing)}
 
 SQL = {
     "op2_benchmark_decontamination": r"""

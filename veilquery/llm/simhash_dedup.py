@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import components, staged
+from veilquery.llm.common import components, record, row_key, shingles, staged
 
 SEGMENTS, WIDTH = 16, 4  #: the 64 bits as 16 segments of 4 bits; a segment's bit count is 0 to 4
 
@@ -86,3 +86,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("fp"), "least")
     named = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def units(words: list[bytes], least: int = 8, mask: int = 15) -> np.ndarray:
+    """SimHashes of the units of a text: runs of words that end at words chosen by hash, so that an edit changes only its own unit."""
+    ends, start = [], 0
+    for i in np.flatnonzero((np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) & mask) == 0).tolist():
+        if i + 1 - start >= least:
+            ends.append(i + 1)
+            start = i + 1
+    if start < len(words):
+        ends.append(len(words))
+    return np.unique(np.array([simhash64(shingles(words[a:b], 3)) for a, b in zip([0, *ends], ends, strict=False)], np.uint64))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shared: float = 0.25) -> DataFrame:
+    """(id, tk, group): near-duplicate groups of two texts or more by the Jaccard similarity of 5-word shingles, checked exactly.
+
+    A fingerprint radius of 2 bits misses many pairs at 0.8, so candidates come from two sources: whole texts whose 5-word SimHashes link, and
+    texts that share units, of which `shared` of the smaller text must agree. Texts are compared with the leader of a shared unit
+    (the text with most units shared, and the one with the least number), never all with all, and groups follow the links. Copies count as
+    one text. group is an arbitrary number.
+    """
+    key = [*row_key(id_col, text_col), F.xxhash64(text_col, F.lit(7)).alias("c")]
+    rows = docs.select(*key, F.col(text_col).cast("binary").alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for c, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = (t.as_py() or b"").lower().split()
+                out.append((c, simhash64(shingles(words)) - (1 << 63), units(words).view(np.int64)))
+            yield record([(c, f, u.tolist()) for c, f, u in out], [pa.int64(), pa.int64(), pa.list_(pa.int64())], ["c", "fp", "units"])
+
+    texts = staged(rows.select("c", "t").mapInArrow(cut, "c long, fp long, units array<long>").groupBy("c", "fp", "units").agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    # whole texts: equal or linked fingerprints
+    nodes = staged(texts.groupBy("fp").agg(F.min("c").alias("lead")))
+    named = nodes.join(components(links(nodes)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    leads = named.groupBy("component").agg(F.min("lead").alias("y"))
+    whole = texts.select("c", "fp").join(named.select("fp", "component"), "fp").join(leads, "component").select(F.col("c").alias("x"), "y")
+    # shared units
+    parts = texts.select("c", F.size("units").alias("all"), F.explode("units").alias("unit"))
+    common = parts.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).where("n > 1")
+    parts = staged(parts.join(common, "unit").select("unit", "c", "all", "low"))
+    weight = parts.groupBy("c").agg((F.count(F.lit(1)) / F.max("all")).alias("weight"))
+    heads = parts.select("unit", "c").join(weight, "c").groupBy("unit").agg(F.max(F.struct("weight", "c")).alias("top")).select("unit", F.col("top.c").alias("top"))
+    pairs = parts.join(heads, "unit").select("c", "all", F.explode(F.array_distinct(F.array("low", "top"))).alias("y")).where("c <> y")
+    pairs = pairs.groupBy("c", "y").agg(F.count(F.lit(1)).alias("agree"), F.max("all").alias("all"))
+    other = texts.select(F.col("c").alias("y"), F.size("units").alias("others"))
+    pairs = pairs.join(other, "y").where(F.col("agree") >= shared * F.least("all", "others")).select(F.col("c").alias("x"), "y")
+    pairs = staged(whole.where("x <> y").union(pairs).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield record([(c, np.unique(shingles((t.as_py() or b"").lower().split())).tobytes()) for c, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)], [pa.int64(), pa.binary()], ["c", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (p, q))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    first = rows.select("id", "tk", "c").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("one"))
+    asked = asked.join(first, "c").select("c", F.col("one.id").alias("oid"), F.col("one.tk").alias("otk"))
+    chosen = rows.join(asked, (rows["c"] == asked["c"]) & rows["id"].eqNullSafe(F.col("oid")) & (rows["tk"] == F.col("otk"))).select(rows["c"], "t")
+    shown = staged(chosen.mapInArrow(sets, "c long, s binary").dropDuplicates(["c"]))
+    compared = pairs.join(shown.select(F.col("c").alias("x"), F.col("s").alias("p")), "x").join(shown.select(F.col("c").alias("y"), F.col("s").alias("q")), "y").select("x", "y", "p", "q")
+    linked = components(compared.mapInArrow(check, "a long, b long"))
+    copies = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("node"))
+    groups = linked.union(copies.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return rows.select("id", "tk", "c").join(groups.withColumnRenamed("node", "c"), "c").select("id", "tk", F.col("component").alias("group"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar_groups: the least id, then text; of repeated rows one. Rows alike in nothing stay."""
+    groups = staged(similar_groups(docs, id_col, text_col, similarity))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tk")
+    best = groups.groupBy("group").agg(F.min(order).alias("best"))
+    gone = groups.join(best, "group").where(order != F.col("best")).select("id", "tk").distinct()
+    stay = best.select(F.col("best.id").alias("id"), F.col("best.tk").alias("tk"))
+    keyed = docs.select("*", F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__tk"))
+    match = lambda df: F.col("__id").eqNullSafe(df["id"]) & (F.col("__tk") == df["tk"])
+    single = keyed.join(gone, match(gone), "left_anti").join(stay, match(stay), "left_anti")
+    firsts = keyed.join(stay, match(stay), "left_semi").dropDuplicates(["__id", "__tk"])
+    return single.unionByName(firsts).drop("__id", "__tk")

@@ -145,3 +145,9 @@ def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
 
 def record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
+    """rows whose column is in keys, so that a following join shuffles less: the keys are broadcast if they are few, else nothing is done."""
+    keys = keys.select(column).distinct()
+    return rows.join(F.broadcast(keys), column, "left_semi") if keys.limit(most + 1).count() <= most else rows

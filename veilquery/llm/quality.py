@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import row_key, staged, word_grams
+from veilquery.llm.common import let, row_key, staged, word_grams
 
 #: Words of abuse that one labeller looks for.
 ABUSE = ["arsehole", "asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "vermin", "worthless"]
@@ -33,11 +33,15 @@ def learned_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     one is counted: documents that agree in the least hash of their word triples, for any of four hash functions.
     """
     rows = labels.select(F.col(id_col).alias("lid"), "toxic").where("toxic is not null").orderBy(F.xxhash64(F.lit(7), "lid"), "lid").limit(sample)
-    texts = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("t")).join(rows, "lid").withColumn("words", F.split(F.lower("t"), r"\P{L}+")).withColumn("grams", word_grams(F.col("words"), 3))
+    texts = docs.select(F.col(id_col).alias("lid"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("t")).join(F.broadcast(rows), "lid")
+    texts = texts.withColumn("words", F.split(F.lower("t"), r"\P{L}+"))
+    least_of = let(word_grams(F.col("words"), 3), lambda g: F.array(*(F.array_min(_mixed(g, k)) for k in range(4))))
+    single = staged(texts.select("lid", "tk", "toxic", least_of.alias("least")))
     for k in range(4):
-        texts = texts.withColumn("key", F.coalesce(F.array_min(_mixed("grams", k)), F.xxhash64("t"))).dropDuplicates(["key"])
-    texts = staged(texts.select("toxic", F.array_distinct("words").alias("words")))
-    total = texts.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("bad")).first()
+        single = single.withColumn("key", F.coalesce(F.get("least", F.lit(k)), "tk")).dropDuplicates(["key"])
+    single = staged(single.select("lid", "tk", "toxic"))  # `sample` rows at most, but for repeated ids
+    texts = texts.drop("toxic").join(F.broadcast(single), ["lid", "tk"]).select("toxic", F.array_distinct("words").alias("words"))
+    total = single.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("bad")).first()
     words = texts.select("toxic", F.explode("words").alias("w")).where("w <> ''")
     counts = staged(words.groupBy("w").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 3"))
     wide = {r.n: r.c for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # `sample` values at most
@@ -48,7 +52,7 @@ def learned_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return frozenset(ABUSE) | {r.w for r in found.collect()}  # words of a bounded sample
 
 
-def _mixed(grams: str, k: int):
+def _mixed(grams, k: int):
     return F.transform(grams, lambda g: F.xxhash64(F.lit(k), g))
 
 

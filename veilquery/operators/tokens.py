@@ -49,9 +49,8 @@ def sentences(tokens: DataFrame) -> DataFrame:
 
 def shape(text: Column) -> Column:
     """a for lower, A for upper case, # for digits, - for the rest; accents count as their letters."""
-    c = F.regexp_replace(text, r"\p{Lu}", "A")
-    c = F.regexp_replace(c, r"(?!A)\p{L}", "a")
-    return F.regexp_replace(F.regexp_replace(c, "[0-9]", "#"), "[^aA#]", "-")
+    c = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}0-9]", "-"), r"\p{Lu}", "A")
+    return F.regexp_replace(F.regexp_replace(c, r"(?!A)\p{L}", "a"), "[0-9]", "#")
 
 
 def collapsed(shapes: Column) -> Column:

@@ -35,7 +35,13 @@ def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilquery-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, str(min(2000, int(was)) if int(was) > 0 else 2000))  # texts can be long: Python workers hold a batch or two
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(size, was)
     _staged.append((spark, path))
     again = spark.read.schema(df.schema).parquet(path)
     again.staged_path = path
@@ -147,6 +153,11 @@ def record(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
+def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """keys marked for broadcast if they are counted to be few, else as they are, for a join that shuffles."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def narrowed(rows: DataFrame, keys: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
     """rows whose column is in keys, so that a following join shuffles less: the keys are broadcast if they are few, else nothing is done."""
     keys = keys.select(column).distinct()

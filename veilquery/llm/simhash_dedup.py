@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import components, record, row_key, shingles, staged
+from veilquery.llm.common import components, few, record, row_key, shingles, staged
 
 SEGMENTS, WIDTH = 16, 4  #: the 64 bits as 16 segments of 4 bits; a segment's bit count is 0 to 4
 
@@ -152,8 +152,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     asked = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
     first = rows.select("id", "tk", "c").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("one"))
-    asked = asked.join(first, "c").select("c", F.col("one.id").alias("oid"), F.col("one.tk").alias("otk"))
-    chosen = rows.join(asked, (rows["c"] == asked["c"]) & rows["id"].eqNullSafe(F.col("oid")) & (rows["tk"] == F.col("otk"))).select(rows["c"], "t")
+    asked = staged(asked.join(first, "c").select("c", F.col("one.id").alias("oid"), F.col("one.tk").alias("otk")))
+    chosen = rows.join(few(asked), F.col("id").eqNullSafe(F.col("oid")) & (F.col("tk") == F.col("otk"))).select(rows["c"], "t")
     shown = staged(chosen.mapInArrow(sets, "c long, s binary").dropDuplicates(["c"]))
     compared = pairs.join(shown.select(F.col("c").alias("x"), F.col("s").alias("p")), "x").join(shown.select(F.col("c").alias("y"), F.col("s").alias("q")), "y").select("x", "y", "p", "q")
     linked = components(compared.mapInArrow(check, "a long, b long"))
@@ -167,10 +167,12 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     groups = staged(similar_groups(docs, id_col, text_col, similarity))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tk")
     best = groups.groupBy("group").agg(F.min(order).alias("best"))
-    gone = groups.join(best, "group").where(order != F.col("best")).select("id", "tk").distinct()
-    stay = best.select(F.col("best.id").alias("id"), F.col("best.tk").alias("tk"))
-    keyed = docs.select("*", F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__tk"))
-    match = lambda df: F.col("__id").eqNullSafe(df["id"]) & (F.col("__tk") == df["tk"])
-    single = keyed.join(gone, match(gone), "left_anti").join(stay, match(stay), "left_anti")
-    firsts = keyed.join(stay, match(stay), "left_semi").dropDuplicates(["__id", "__tk"])
-    return single.unionByName(firsts).drop("__id", "__tk")
+    marked = staged(groups.join(best, "group").groupBy("id", "tk").agg(F.count(F.lit(1)).alias("n"), F.max(order == F.col("best")).alias("stays")))
+    match = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tk") == F.col("tk"))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__tk"))
+    kept = keyed.join(few(marked.where("not stays").select("id", "tk")), match, "left_anti")
+    repeated = marked.where("stays and n > 1").select("id", "tk")
+    if not repeated.isEmpty():
+        again = few(repeated)
+        kept = kept.join(again, match, "left_anti").union(kept.join(again, match, "left_semi").dropDuplicates(["__id", "__tk"]))
+    return kept.select("__row.*")

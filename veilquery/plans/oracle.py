@@ -190,5 +190,3 @@ mine AS (SELECT o.doc, o.tag, o.text, row_number() OVER (PARTITION BY o.doc, o.t
 others AS (SELECT d.doc, d.tag, r.text, row_number() OVER (PARTITION BY d.doc, d.tag ORDER BY r.rank) - 1 AS turn FROM (SELECT DISTINCT doc, tag FROM own) d JOIN ranked r ON r.tag = d.tag WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc = d.doc AND o.tag = d.tag AND o.text = r.text))
 SELECT m.doc AS doc_id, m.tag, m.text, CASE WHEN free > 0 THEN o.text ELSE m.text END AS surrogate
 FROM mine m LEFT JOIN others o ON o.doc = m.doc AND o.tag = m.tag AND o.turn = ({draw("'42|' || m.doc || '|' || m.tag", 'greatest(free, 1)')} + i) % greatest(free, 1)"""
-SURROGATES = f"""{GOLD}, s AS (
-  SELECT doc, start, "end", tag, text, surrogate FROM ({EMAILS}) UNION ALL SELECT doc, start, "end", tag, text, surrogate FROM ({CARDS}) UNION ALL SELECT doc, start, "end", tag, text, surrogate FROM ({IPS}))"""

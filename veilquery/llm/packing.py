@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,29 +21,43 @@ END_ID = 0
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+def specials(name: str) -> tuple[str, ...]:
+    """The special tokens of the vocabulary called name, as text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
+
+
+@functools.cache
+def full_encoder(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 @functools.cache
-def encoder(name: str):
+def encoder(name: str, special: tuple[str, ...]):
     """A function from text to ids as `tokenizers` gives them for the vocabulary called name.
 
-    The same vocabulary as ranks encodes faster; what only the JSON file defines (special tokens inside a text) goes to tokenizers.
+    The same vocabulary as ranks encodes faster and in less memory; texts with special tokens, which only the JSON file defines, go to
+    tokenizers, which is loaded when one comes.
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
-            return full.encode(text, add_special_tokens=False).ids
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException:  # its pattern engine gives up on some very long words
-            return full.encode(text, add_special_tokens=False).ids
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_ordinary(text)
+            except Exception:  # its pattern engine gives up on some very long words
+                pass
+        return full_encoder(name).encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -50,8 +65,10 @@ def encoder(name: str):
 def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str) -> DataFrame:
     """Token pieces of each document; nth counts the pieces of a length within the partition `part`."""
 
+    special = specials(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = encoder(vocabulary), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = encoder(vocabulary, special), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

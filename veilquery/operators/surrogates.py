@@ -39,9 +39,9 @@ def letter_map(k: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(letters), lambda x: x["c"]), "")
 
 
-def initials(text: Column, k: Column) -> Column:
-    """Letters mapped by the permutation of k, case kept; all else stays."""
-    mapped = letter_map(k)
+def initials(text: Column, k: Column, letters: Column | None = None) -> Column:
+    """Letters mapped by the permutation of k, or by the given one, case kept; all else stays."""
+    mapped = letter_map(k) if letters is None else letters
     one = lambda c: F.when(c.rlike("^[a-z]$"), F.substring(mapped, F.position(c, F.lit(LOWER)), F.lit(1))).when(c.rlike("^[A-Z]$"), F.upper(F.substring(mapped, F.position(c, F.lit(UPPER)), F.lit(1)))).otherwise(c)
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
@@ -77,12 +77,12 @@ def zip_code(text: Column, sample: Column) -> Column:
 
 
 def season_offsets(day: Column) -> Column:
-    """Days since the start of the season and to its end; seasons start on 21-3, 21-6, 23-9 and 21-12."""
+    """Days since the first day of the season and to its last one; seasons start on 21-3, 21-6, 23-9 and 21-12."""
     year = F.year(day)
     marks = [F.make_date(year - 1, F.lit(12), F.lit(21)), *(F.make_date(year, F.lit(m), F.lit(d)) for m, d in ((3, 21), (6, 21), (9, 23), (12, 21))), F.make_date(year + 1, F.lit(3), F.lit(21))]
     start = F.array_max(F.filter(F.array(*marks), lambda m: m <= day))
     end = F.array_min(F.filter(F.array(*marks), lambda m: m > day))
-    return F.struct(F.datediff(day, start).alias("past"), F.datediff(end, day).alias("left"))
+    return F.struct(F.datediff(day, start).alias("past"), (F.datediff(end, day) - 1).alias("left"))
 
 
 def shift_date(day: Column, years: Column, days: Column) -> Column:

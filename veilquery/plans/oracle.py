@@ -178,7 +178,7 @@ SQL["masked_spans"] = f"""WITH {GOLD}, m AS (SELECT doc, start, tag, '[' || uppe
 SELECT doc AS doc_id, (start + shift)::INT AS start, (start + shift + length(r))::INT AS "end", tag, r AS text FROM m"""
 SQL["surrogate_date"] = f"""WITH d AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d FROM orders),
 marks AS (SELECT d, unnest([make_date(year(d) - 1, 12, 21), make_date(year(d), 3, 21), make_date(year(d), 6, 21), make_date(year(d), 9, 23), make_date(year(d), 12, 21), make_date(year(d) + 1, 3, 21)]) AS m FROM (SELECT DISTINCT d FROM d)),
-season AS (SELECT d, d - max(m) FILTER (m <= d) AS past, min(m) FILTER (m > d) - d AS left_ FROM marks GROUP BY d),
+season AS (SELECT d, d - max(m) FILTER (m <= d) AS past, min(m) FILTER (m > d) - d - 1 AS left_ FROM marks GROUP BY d),
 own AS (SELECT o_custkey, max(d) AS recent, min(past) AS past, min(left_) AS left_ FROM d JOIN season USING (d) GROUP BY o_custkey),
 draws AS (SELECT *, 45 + {draw("'42|' || o_custkey || '|years'", 41)} AS years, CASE WHEN past >= left_ THEN -1 ELSE 1 END * (1 + {draw("'42|' || o_custkey || '|days'", 'greatest(past, left_, 1)')}) AS days FROM own),
 near AS (SELECT o_orderkey, CASE WHEN date_sub('year', d, recent) > 89 THEN (d + to_years((date_sub('year', d, recent) - 89)::INT))::DATE ELSE d END AS d, years, days FROM d JOIN draws USING (o_custkey))

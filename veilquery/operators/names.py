@@ -76,8 +76,8 @@ def surrogates(spans: DataFrame, first_names: DataFrame, last_names: DataFrame,
     broadcasts them if they are small. maps: letters for a-z of first and last names in place of the ones drawn for the document. The surrogate is
     null where a part has no letter or no name is listed for its letter, and where nothing changes.
     """
-    firsts = F.coalesce(maps[0], F.lit("")) if maps else letter_map(key(seed, F.col("doc"), F.lit("letters")))
-    lasts = F.coalesce(maps[1], F.lit("")) if maps else letter_map(key(seed, F.col("doc"), F.lit("last letters")))
+    firsts = maps[0] if maps else letter_map(key(seed, F.col("doc"), F.lit("letters")))
+    lasts = maps[1] if maps else letter_map(key(seed, F.col("doc"), F.lit("last letters")))
     names = spans.select("doc", "text").where("text is not null").distinct().withColumn("p", parse(F.col("text")))
     piece = lambda role, i, t: F.struct(F.lit(role).alias("role"), i.alias("i"), t.alias("part"))
     middle = F.filter(F.split("p.middle", r"\s+"), lambda x: x != "")

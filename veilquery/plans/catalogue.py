@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilquery.functions.draws import draw, key
-from veilquery.operators import corpus, detect, evaluate, labels, rewrite, surrogates, tokens
+from veilquery.operators import corpus, dates, detect, evaluate, generators, labels, locations, names, rewrite, sequence, surrogates, tokens
 
 SEED = 42
 
@@ -282,6 +282,96 @@ def documents_by_language(spark, sf_dir):
     return rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("tag").alias("n_spans"))
 
 
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates spelled in six layouts, by customer."""
+    day = F.to_date("o_orderdate")
+    month = lambda lang: F.get(F.split(F.lit(dates.NAMES[lang]["B"]), " "), F.month(day) - 1)
+    weekday = F.get(F.split(F.lit(dates.NAMES["de"]["A"]), " "), F.weekday(day))
+    two = F.date_format(day, "dd")
+    year = F.date_format(day, "yyyy")
+    spelled = [F.date_format(day, "dd-MM-yyyy"), F.date_format(day, "yyyy-MM-dd"), F.concat_ws(" ", two, month("nl"), year), F.concat(month("en"), F.lit(" "), two, F.lit(", "), year), F.concat_ws(" ", weekday, two, month("de"), year), F.date_format(day, "dd/MM/yy")]
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").cast("int").alias("start"), F.get(F.array(*spelled), F.pmod("o_orderkey", F.lit(6)).cast("int")).alias("text"))
+
+
+def parse_dates(spark, sf_dir):
+    return dates.parsed(date_texts(spark, sf_dir)).select(F.col("start").alias("o_orderkey"), "text", "date", "has_year")
+
+
+def surrogate_date_texts(spark, sf_dir):
+    rows = dates.surrogates(date_texts(spark, sf_dir), shift=(F.lit(12), F.lit(-5)))
+    return rows.select(F.col("start").alias("o_orderkey"), "text", "surrogate")
+
+
+def surrogate_dates_drawn(spark, sf_dir):
+    return dates.surrogates(date_texts(spark, sf_dir), SEED).select(F.col("start").alias("o_orderkey"), "text", "surrogate")
+
+
+def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of a customer's number and segment, in four forms."""
+    k = F.col("c_custkey")
+    of = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(F.floor(k / n), F.lit(len(values))).cast("int"))
+    first, middle, last = of(FIRST, 7), of(("F.A.", "Maria", "Jan Piet"), 3), of(LAST, 5)
+    forms = [F.concat_ws(" ", first, last), F.concat_ws(" ", F.lit("Dhr."), first, middle, last), F.concat(last, F.lit(", "), first), F.concat(F.lit("Dr. "), first, F.lit(" "), last, F.lit(", Ph.D."))]
+    return table(spark, sf_dir, "customer").select(k.alias("doc"), F.get(F.array(*forms), F.pmod(k, F.lit(4)).cast("int")).alias("text"))
+
+
+FIRST, LAST = ("Lucas", "Annemarie", "Özlem", "J."), ("de Groot", "Janssen", "van der Linden", "'t Hart", "Bakker")
+COUNTRIES = ["Nederland", "Oostenrijk", "Duitsland"]
+
+
+def small_gazetteers(spark: SparkSession) -> generators.Gazetteers:
+    """An invented name for each letter, and a few addresses."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    first = spark.createDataFrame([(c.upper() + end, g) for c in letters for g, end in (("m", "aro"), ("f", "ilia"), ("f", "enne"))] + [("Lucas", "m")], "name string, gender string")
+    last = spark.createDataFrame([(p, c.upper() + end) for c in letters for p, end in (("", "erman"), ("van", "oost"))], "prefix string, name string")
+    places = spark.createDataFrame([(f"{1000 + 7 * i}{'ABCDEFGH'[i]}{'KLMNPRST'[i]}", f"Dorp{'abcdefgh'[i]}", f"{'ABCDEFGH'[i]}laan") for i in range(8)], "postcode string, plaats string, straat string")
+    return generators.Gazetteers(first, last, places, COUNTRIES)
+
+
+def parse_names(spark, sf_dir):
+    p = names.parse(F.col("text"))
+    return person_names(spark, sf_dir).select(F.col("doc").alias("c_custkey"), "text", p.alias("p")).select("c_custkey", "text", F.trim("p.title").alias("title"), "p.first", "p.middle", "p.last", "p.suffix")
+
+
+def surrogate_names(spark, sf_dir):
+    g = small_gazetteers(spark)
+    return names.surrogates(person_names(spark, sf_dir), g.first_names, g.last_names, SEED).withColumnRenamed("doc", "c_custkey")
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of a supplier's number, in four forms."""
+    k = F.col("s_suppkey")
+    number, code = k.cast("string"), F.concat(F.lpad(F.pmod(k, F.lit(9000)).cast("string"), 4, "1"), F.lit(" AB"))
+    forms = [F.concat(F.lit("Parallelweg "), number, F.lit(", "), code, F.lit(" Groenlo")), F.concat(F.lit("Waterkant "), number, F.lit("-2, Arnhem-Zuid")), F.lit("De singel te Haarlem Nederland"), F.lit("Groenlo (Duitsland)")]
+    return table(spark, sf_dir, "supplier").select(k.alias("doc"), F.get(F.array(*forms), F.pmod(k, F.lit(4)).cast("int")).alias("text"))
+
+
+def parse_locations(spark, sf_dir):
+    return addresses(spark, sf_dir).select(F.col("doc").alias("s_suppkey"), "text", locations.parse(F.col("text"), COUNTRIES).alias("p")).select("s_suppkey", "text", "p.*")
+
+
+def surrogate_locations(spark, sf_dir):
+    return locations.surrogates(addresses(spark, sf_dir), small_gazetteers(spark).addresses, COUNTRIES, SEED).withColumnRenamed("doc", "s_suppkey")
+
+
+def surrogate_corpus(spark, sf_dir):
+    return generators.surrogate_spans(gold(spark, sf_dir), small_gazetteers(spark), SEED).withColumnRenamed("doc", "doc_id")
+
+
+def crf_predictions(spark, sf_dir):
+    """A CRF learnt from the train part tags the test part."""
+    rows = tokens.sentences(encoded(spark, sf_dir))
+    parts = corpus_split(spark, sf_dir).withColumnRenamed("doc_id", "doc")
+    model = sequence.tagger(rows.join(parts.where("part = 'train'"), "doc", "left_semi"), 2000, seed=SEED)
+    held = documents(spark, sf_dir).join(parts.where("part = 'test'"), F.col("doc_id") == F.col("doc"), "left_semi")
+    return sequence.annotate(held, "doc_id", model).withColumnRenamed("doc", "doc_id")
+
+
+def training_fraction(spark, sf_dir):
+    rows = tokens.sentences(encoded(spark, sf_dir))
+    return sequence.fraction(sequence.sentences(rows), 0.25, SEED).agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_documents": mask_documents,
     "detect_email": detection("Email"),
@@ -294,6 +384,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         detect_all, mask_conversations, mask_custom_formatter, masked_spans, phi_distribution, corpus_split, phi_by_part_pivot, tokenize, sentence_segments, word_shapes, token_context, token_features, orthographic_flags, term_frequency, vocabulary_size,
         corpus_stats, bio_encode, bio_to_biluo, fix_dangling, label_violations, bio_to_spans, entity_metrics, macro_metrics, token_metrics, token_blind_metrics, annotator_agreement, unflatten_tags, run_summary, significance_test, span_surrogates,
         surrogate_id, surrogate_email, surrogate_url, surrogate_age, surrogate_initials, surrogate_phone, surrogate_zip, surrogate_date, corpus_shuffle, surrogate_documents, errors_ignore, failed_replacements, rewrite_table, manual_override,
-        documents_without_annotations, documents_by_language,
+        documents_without_annotations, documents_by_language, parse_dates, surrogate_date_texts, surrogate_dates_drawn, parse_names, surrogate_names, parse_locations, surrogate_locations, surrogate_corpus, crf_predictions, training_fraction,
     )
 }

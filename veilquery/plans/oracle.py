@@ -190,3 +190,27 @@ mine AS (SELECT o.doc, o.tag, o.text, row_number() OVER (PARTITION BY o.doc, o.t
 others AS (SELECT d.doc, d.tag, r.text, row_number() OVER (PARTITION BY d.doc, d.tag ORDER BY r.rank) - 1 AS turn FROM (SELECT DISTINCT doc, tag FROM own) d JOIN ranked r ON r.tag = d.tag WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc = d.doc AND o.tag = d.tag AND o.text = r.text))
 SELECT m.doc AS doc_id, m.tag, m.text, CASE WHEN free > 0 THEN o.text ELSE m.text END AS surrogate
 FROM mine m LEFT JOIN others o ON o.doc = m.doc AND o.tag = m.tag AND o.turn = ({draw("'42|' || m.doc || '|' || m.tag", 'greatest(free, 1)')} + i) % greatest(free, 1)"""
+
+
+def spelled(d: str, read: str = "d") -> str:
+    """A date in the layout of its order: six of them, three with names of months. A name read that is long and short alike (May) counts as short."""
+    month = lambda names: f"(CASE WHEN month({read}) = 5 THEN list_transform({names}, lambda x: x[:3]) ELSE {names} END)[month({d})]"
+    nl = month("['januari', 'februari', 'maart', 'april', 'mei', 'juni', 'juli', 'augustus', 'september', 'oktober', 'november', 'december']")
+    de = month("['Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November', 'Dezember']")
+    days = "['Montag', 'Dienstag', 'Mittwoch', 'Donnerstag', 'Freitag', 'Samstag', 'Sonntag']"
+    return f"""CASE o_orderkey % 6 WHEN 0 THEN strftime({d}, '%d-%m-%Y') WHEN 1 THEN strftime({d}, '%Y-%m-%d') WHEN 2 THEN strftime({d}, '%d ') || ({nl}) || strftime({d}, ' %Y')
+WHEN 3 THEN strftime({d}, CASE WHEN month({read}) = 5 THEN '%b' ELSE '%B' END || ' %d, %Y') WHEN 4 THEN {days}[isodow({d})] || strftime({d}, ' %d ') || ({de}) || strftime({d}, ' %Y') ELSE strftime({d}, '%d/%m/%y') END"""
+
+
+ORDER_DAYS = "d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)"
+SQL["parse_dates"] = f"WITH {ORDER_DAYS} SELECT o_orderkey::INT AS o_orderkey, {spelled('d')} AS text, d AS date, true AS has_year FROM d"
+SQL["surrogate_date_texts"] = f"WITH {ORDER_DAYS}, n AS (SELECT *, ((d + to_years(12))::DATE - 5)::DATE AS later FROM d) SELECT o_orderkey::INT AS o_orderkey, {spelled('d')} AS text, {spelled('later')} AS surrogate FROM n"
+SQL["parse_names"] = """WITH n AS (
+  SELECT c_custkey, c_custkey % 4 AS k, ['Lucas', 'Annemarie', 'Özlem', 'J.'][c_custkey // 7 % 4 + 1] AS first, ['F.A.', 'Maria', 'Jan Piet'][c_custkey // 3 % 3 + 1] AS middle,
+         ['de Groot', 'Janssen', 'van der Linden', '''t Hart', 'Bakker'][c_custkey // 5 % 5 + 1] AS last FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN first || ' ' || last WHEN 1 THEN 'Dhr. ' || first || ' ' || middle || ' ' || last WHEN 2 THEN last || ', ' || first ELSE 'Dr. ' || first || ' ' || last || ', Ph.D.' END AS text,
+       CASE k WHEN 1 THEN 'Dhr.' WHEN 3 THEN 'Dr.' ELSE '' END AS title, first, CASE k WHEN 1 THEN middle ELSE '' END AS middle, last, CASE k WHEN 3 THEN ', Ph.D.' ELSE '' END AS suffix FROM n"""
+SQL["parse_locations"] = """WITH n AS (SELECT s_suppkey, s_suppkey % 4 AS k, s_suppkey::VARCHAR AS number, lpad((s_suppkey % 9000)::VARCHAR, 4, '1') || ' AB' AS code FROM supplier)
+SELECT s_suppkey, ['Parallelweg ' || number || ', ' || code || ' Groenlo', 'Waterkant ' || number || '-2, Arnhem-Zuid', 'De singel te Haarlem Nederland', 'Groenlo (Duitsland)'][k + 1] AS text, ['', '', 'Nederland', 'Duitsland'][k + 1] AS country,
+       CASE k WHEN 0 THEN code ELSE '' END AS zip_code, ['Groenlo', 'Arnhem-Zuid', 'te Haarlem', 'Groenlo'][k + 1] AS place, ['Parallelweg', 'Waterkant', 'De singel', ''][k + 1] AS street, [number, number || '-2', '', ''][k + 1] AS house_number FROM n"""
+SQL["training_fraction"] = f"WITH {TOKENS}, {SENTENCES} SELECT floor(count(*) * 0.25)::BIGINT AS n_sentences FROM (SELECT DISTINCT doc, sent_id FROM sents WHERE NOT regexp_full_match(text, '[\\x09-\\x0D\\x20]+'))"

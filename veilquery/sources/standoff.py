@@ -31,6 +31,11 @@ def annotations(spark: SparkSession, path: str, mode: str = "permissive") -> Dat
     return rows.where("start is not null and end is not null")
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc) for each *.ann, empty ones included."""
+    return _names(spark, path, ".ann")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc, text) of *.txt with line ends as they are; empty files have empty texts."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract("_metadata.file_path", NAME, 1).alias("doc"), F.col("value").alias("text"))

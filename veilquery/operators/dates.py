@@ -75,13 +75,14 @@ def parsed(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """rows with `date` (null where the text is no date), `lang`, `layout`, `has_year`, and the columns _tokens and _letters that `written` needs.
 
     Without a year it is 1900, without a day the 15th, without a month January. Two-digit years from 69 on are of the 20th century. Day before month is
-    tried first. Null and empty texts are no dates.
+    tried first; of the languages that read a text, the one with most names in their usual case. Null and empty texts are no dates.
     """
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)[0-9]+|{WORD}|."), F.lit(0))
     rows = rows.withColumn("_tokens", tokens)
-    reading = lambda lang: F.struct(F.lit(lang).alias("lang"), F.transform("_tokens", lambda t: _kind(t, lang)).alias("kinds"))
-    sane = F.filter(F.array(*map(reading, NAMES)), lambda r: ~F.array_contains(r["kinds"], "?"))
-    rows = rows.withColumn("_r", F.get(sane, F.lit(0)))
+    exact = lambda lang: F.size(F.array_intersect("_tokens", F.array(*(F.lit(n) for k in "BbAa" for n in NAMES[lang][k].split()))))
+    reading = lambda turn, lang: F.struct((-exact(lang)).alias("rank"), F.lit(turn).alias("turn"), F.lit(lang).alias("lang"), F.transform("_tokens", lambda t: _kind(t, lang)).alias("kinds"))
+    sane = F.filter(F.array(*(reading(i, lang) for i, lang in enumerate(NAMES))), lambda r: ~F.array_contains(r["kinds"], "?"))
+    rows = rows.withColumn("_r", F.array_min(sane))
     shape = F.translate(F.translate(F.array_join("_r.kinds", ""), "Bb", "MM"), "Aa", "WW")
     layouts = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in LAYOUTS.items() for x in kv))
     rows = rows.withColumn("_options", F.try_element_at(layouts, shape))

@@ -187,10 +187,15 @@ def sentences(labelled: DataFrame) -> DataFrame:
 
 
 def sampled(rows: DataFrame, n: int = 5000, seed: int = 42, longest: int = 500) -> list[tuple[list[str], list[str]]]:
-    """At most n sentences, the first by hash, for training: the bound keeps the driver's share fixed. Those of over `longest` words aren't learnt from."""
+    """At most n sentences for training, the first by hash: the bound keeps the driver's share fixed.
+
+    Up to half of them hold labels other than O, as these are rare in most corpora; the rest don't. Those of over `longest` words aren't learnt from.
+    """
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc").cast("string"), F.col("sent_id").cast("string")))
-    chosen = rows.where(F.size("words") <= longest).withColumn("h", h).orderBy("h", "doc", "sent_id").limit(n).collect()
-    return [(list(r.words), list(r.labels)) for r in chosen]
+    rows = rows.where(F.size("words") <= longest).withColumn("h", h).withColumn("rare", F.exists("labels", lambda x: x != "O"))
+    first = lambda part, k: part.orderBy("h", "doc", "sent_id").limit(k).collect()
+    rare = first(rows.where("rare"), n // 2)
+    return [(list(r.words), list(r.labels)) for r in rare + first(rows.where("not rare"), n - len(rare))]
 
 
 def fraction(rows: DataFrame, share: float, seed: int = 42) -> DataFrame:

@@ -199,7 +199,7 @@ def spelled(d: str, read: str = "d") -> str:
     de = month("['Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November', 'Dezember']")
     days = "['Montag', 'Dienstag', 'Mittwoch', 'Donnerstag', 'Freitag', 'Samstag', 'Sonntag']"
     return f"""CASE o_orderkey % 6 WHEN 0 THEN strftime({d}, '%d-%m-%Y') WHEN 1 THEN strftime({d}, '%Y-%m-%d') WHEN 2 THEN strftime({d}, '%d ') || ({nl}) || strftime({d}, ' %Y')
-WHEN 3 THEN strftime({d}, CASE WHEN month({read}) = 5 THEN '%b' ELSE '%B' END || ' %d, %Y') WHEN 4 THEN {days}[isodow({d})] || strftime({d}, ' %d ') || ({de}) || strftime({d}, ' %Y') ELSE strftime({d}, '%d/%m/%y') END"""
+WHEN 3 THEN CASE WHEN month({read}) = 5 THEN strftime({d}, '%b %d, %Y') ELSE strftime({d}, '%B %d, %Y') END WHEN 4 THEN {days}[isodow({d})] || strftime({d}, ' %d ') || ({de}) || strftime({d}, ' %Y') ELSE strftime({d}, '%d/%m/%y') END"""
 
 
 ORDER_DAYS = "d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)"

@@ -59,7 +59,9 @@ def test_dates(spark):
     assert str(one(spark, surrogates.shift_date(day("1921-01-01"), F.lit(85), F.lit(8)))) == "2006-01-09"
     assert str(one(spark, surrogates.shift_date(day("2016-02-29"), F.lit(1), F.lit(0)))) == "2017-02-28"
     assert str(one(spark, surrogates.within_span(day("1915-01-01"), day("2010-06-01")))) == "1921-01-01"
-    assert tuple(one(spark, surrogates.season_offsets(day("2020-03-22")))) == (1, 91)
+    # a season's last day is the day before the next one starts, so 20 June for spring
+    for d, offsets in (("2020-03-22", (1, 90)), ("2018-04-24", (34, 57)), ("2018-07-07", (16, 77)), ("2018-12-21", (0, 89)), ("2019-01-07", (17, 72))):
+        assert tuple(one(spark, surrogates.season_offsets(day(d)))) == offsets
 
 
 def labelled(spark, names):
@@ -109,3 +111,13 @@ def test_split_and_shuffle(spark):
     spans = spark.createDataFrame([("a", "T", "x"), ("a", "T", "y"), ("b", "T", "z"), ("c", "U", "only")], "doc string, tag string, text string")
     rows = {(r.doc, r.text): r.surrogate for r in surrogates.corpus_shuffle(spans, 1).collect()}
     assert rows["a", "x"] == rows["a", "y"] == "z" and rows["b", "z"] in ("x", "y") and rows["c", "only"] == "only"
+
+
+def test_rewrite_table_and_entries_by_hand(spark):
+    spans = "array<struct<start:int,end:int,tag:string,text:string,surrogate:string>>"
+    docs = spark.createDataFrame([(1, [(5, 8, "ID", "222", "999"), (0, 3, "Name", "Jan", None)]), (2, [])], f"doc_id long, spans {spans}")
+    table = rewrite.rewrite_table(docs, "doc_id")
+    found = [(r.doc_id, r.ann_id, r.start, r.text, r.surrogate, r.manual_surrogate, r.checked) for r in table.orderBy("start").collect()]
+    assert found == [("1", "T1", 0, "Jan", None, None, False), ("1", "T2", 5, "222", "999", None, False)]
+    done = rewrite.manual_first(table.withColumn("manual_surrogate", F.when(F.col("ann_id") == "T1", "Piet"))).orderBy("start").collect()
+    assert [r.surrogate for r in done] == ["Piet", "999"]

@@ -61,3 +61,11 @@ def test_nulls_empty_and_repeated(spark):
     assert len(out) == len(rows)
     assert all(r.keep for r in out if r.doc_id in (1, 2, None))
     assert quality.classify(docs.limit(0)).collect() == []
+
+
+def test_loops_are_seen_whatever_their_period():
+    for period in (200, 201, 202):
+        for times, share in ((2, 0.5), (3, 0.67), (4, 0.75)):
+            text = " ".join([f"w{i}" for i in range(period)] * times).encode()
+            assert abs(quality.measures(text, frozenset())[1][5] - share) < 0.01
+            assert quality.votes(quality.measures(text, frozenset())[1]) >> quality.LABELLERS.index("loops") & 1

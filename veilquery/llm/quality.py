@@ -57,19 +57,19 @@ def _mixed(grams, k: int):
 
 
 def measures(text: bytes, abuse: frozenset[str]) -> tuple[list[bytes], list[float]]:
-    """The words, and what the labellers look at: shares of upper-case words, words with a tail of symbols, bars, words equal to the one before; abuse; share of repeated places."""
+    """The words, and what the labellers look at: shares of upper-case words, words with a tail of symbols, bars, words equal to the one before; abuse; share of word triples that came before."""
     words = text.split()
     n = max(1, len(words))
     plain = text.decode("utf-8", "replace")
     shouted = sum(map(str.isupper, plain.split()))
-    seen = {words[i] + b" " + words[i + 1] + b" " + words[i + 2] for i in range(0, len(words) - 2, 3)}
+    seen = set(zip(words, words[1:], words[2:], strict=False))
     return words, [
         shouted / n,
         len(_TAIL.findall(text)) / n,
         words.count(b"|") / n,
         sum(map(operator.eq, words, words[1:])) / n,
         float(sum(2 if w in _KNOWN else 1 for w in abuse.intersection(_LETTERS.findall(plain.lower())))),
-        1 - len(seen) / max(1, len(range(0, len(words) - 2, 3))) if len(words) > 2 else 0.0,
+        1 - len(seen) / (len(words) - 2) if len(words) > 2 else 0.0,
     ]
 
 

@@ -48,7 +48,35 @@ def test_small_blocks(spark):
 
 
 def test_many_segments_of_one_anchor(spark):
-    check(spark, corpus(100), 100, most_segments=2)
+    check(spark, corpus(100), 100, most=2)
+    check(spark, corpus(100), 100, most=1, block=1)
+
+
+def test_whole_table_at_400_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, suffix_dedup.repeats(docs).collect()), key=str) == brute(rows, 400)
+
+
+def test_a_very_long_text_and_ids_of_text(spark):
+    r = random.Random(11)
+    part = "".join(r.choice("abcdefgh ") for _ in range(700))
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    rows = [("a", long[:300_000] + part + long[300_000:]), ("b", part), (None, part + "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, suffix_dedup.repeats(docs).collect()), key=str) == brute(rows, 400)
+
+
+def test_anchors_do_not_depend_on_the_pieces():
+    data = np.random.default_rng(5).integers(0, 3, 5000).astype(np.uint8)
+    place = lambda h, at, first, last: [a for a, x, y in zip(at, first, last, strict=True) for _ in range(x, y + 1)]
+    whole = place(*suffix_dedup.anchors(data, 100, 13))
+    assert len(whole) == 4901
+    for bits in (8, 10):
+        h, at, first, last = suffix_dedup.anchors(data, 100, bits)
+        assert [x for a, b in zip(first, last, strict=True) for x in range(a, b + 1)] == list(range(4901))
+    short = suffix_dedup.anchors(data[1000:1300], 100, 13)
+    assert [p + 1000 for p in place(*short)] == whole[1000:1201]
 
 
 def test_empty(spark):

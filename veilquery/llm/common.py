@@ -162,3 +162,16 @@ def narrowed(rows: DataFrame, keys: DataFrame, column: str, most: int = 1_000_00
     """rows whose column is in keys, so that a following join shuffles less: the keys are broadcast if they are few, else nothing is done."""
     keys = keys.select(column).distinct()
     return rows.join(F.broadcast(keys), column, "left_semi") if keys.limit(most + 1).count() <= most else rows
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, by: list[str], how: str = "inner", ways: int = 64, share: float = 1e-3) -> DataFrame:
+    """rows joined with keys (distinct in `on`, each with its number of rows as `weight`), hot keys dealt over `ways` tasks by a hash of the columns `by`.
+
+    A key is hot from `share` of all weight on, so 1 / share keys are hot at most: these, and no others, are broadcast to mark the rows.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > share * total
+    marked = rows.join(F.broadcast(keys.where(hot).select(*on, F.lit(ways).alias("__ways"))), on, "left")
+    left = marked.withColumn("__salt", F.pmod(F.xxhash64(*by), F.coalesce("__ways", F.lit(1)).cast("long"))).drop("__ways")
+    right = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(hot, F.lit(ways - 1)).otherwise(F.lit(0)).cast("long"))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")

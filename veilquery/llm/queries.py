@@ -57,6 +57,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_quality_classifier, op4_document_fingerprints, op5_suffix_array_dedup, op6_url_filters, op7_lm_scoring, op8_license_scans, op9_substring_dedup, op10_best_fit_packing)}
 
 SQL = {
+    "op5_suffix_array_dedup": r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT r, o, substr(h, 2 * o + 1, 2 * (2048 + 399)) AS p FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 399)::BIGINT, 2048)) AS o FROM texts)),
+wins AS (SELECT r, o + i AS i, md5(substr(p, 2 * i + 1, 800)) AS k FROM (SELECT r, o, p, unnest(range(0, least(2048, length(p) // 2 - 399)::BIGINT)) AS i FROM blocks)),
+twice AS (SELECT k FROM wins GROUP BY k HAVING count(*) > 1),
+marks AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM wins SEMI JOIN twice USING (k)),
+runs AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM marks) GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a::BIGINT + 1, 2 * (coalesce(b, length(h) // 2) - a)::BIGINT), '' ORDER BY a, b) AS h FROM gaps JOIN texts USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n, count(*) AS c FROM runs GROUP BY r)
+SELECT doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
+""",
     "op2_benchmark_decontamination": r"""
 WITH texts AS (
   SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),

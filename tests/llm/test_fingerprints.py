@@ -40,6 +40,17 @@ def test_ties_nulls_and_small_tables(spark):
     assert [r.n_near for r in many if r.doc_id == 100] == [2]
 
 
+def test_a_very_long_text(spark):
+    r = random.Random(6)
+    texts = [" ".join(str(r.randrange(5000)) for _ in range(n)) for n in (300_000, 3)]
+    out = fingerprints.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in out:
+        t, other = texts[x.doc_id], texts[1 - x.doc_id]
+        new = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert x.fingerprint == fingerprints.fingerprint(t).tobytes().hex()
+
+
 def test_search_finds_all(spark):
     r = random.Random(4)
     base = [r.getrandbits(128) for _ in range(30)]

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import gram_hashes, join_rows, let, plain_words, row_key, staged, word_grams
+from veilquery.llm.common import gram_hashes, join_rows, let, plain_words, row_key, staged
 
 
 def winnowed(words: Column, window: int, gram: int) -> Column:
-    """The least gram hash of each run of grams that a span of `window` words holds: equal spans share one at least."""
+    """The least gram hash of each run of grams that a span of `window` words holds: equal spans share one at least. words: a column or a lambda's variable."""
     run = window - gram + 1
+    none = F.expr("cast(array() as array<bigint>)")
     if run == 1:
-        return let(words, lambda w: F.array_distinct(gram_hashes(w, gram)))
-    mins = lambda h: F.when(F.size(h) >= run, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (run - 1)), lambda i: F.array_min(F.slice(h, i, run)))))
-    return let(words, lambda w: let(gram_hashes(w, gram), mins))
+        return F.array_distinct(gram_hashes(words, gram))
+    least = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (run - 1)), lambda i: F.array_min(F.slice(h, i, run)))
+    return F.when(F.size(words) >= window, let(gram_hashes(words, gram), lambda h: F.array_distinct(least(h)))).otherwise(none)
 
 
 def spans(words: Column, window: int) -> Column:
@@ -42,20 +43,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     grams = {n: (gram if n == window else n) for n in sizes}
     prints = staged(_union(items.where(F.col("len") == n).select(F.lit(n).alias("len"), F.explode(winnowed(F.col("words"), n, g)).alias("h")) for n, g in grams.items()).distinct())
     windows = staged(_union(items.where(F.col("len") == n).select(F.lit(n).alias("len"), F.explode(spans(F.col("words"), n)).alias("span"), "item") for n in sizes).distinct())
-    # documents that share a fingerprint
-    mine = _union(rows.select("id", "tk", F.lit(n).alias("len"), F.explode(winnowed(F.col("words"), n, g)).alias("h")) for n, g in grams.items())
+    # documents that share a fingerprint; the words are cut once for all lengths
+    named = lambda n: lambda h: F.struct(F.lit(n).alias("len"), h.alias("h"))
+    every = lambda w: F.concat(*(F.transform(winnowed(w, n, g), named(n)) for n, g in grams.items()))
+    mine = docs.select(*row_key(id_col, text_col), F.explode(let(plain_words(F.col(text_col)), every)).alias("x")).select("id", "tk", "x.*")
     shared = staged(mine.join(prints, ["len", "h"], "left_semi").select("id", "tk").distinct())
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     texts = join_rows(texts, shared, "left_semi").dropDuplicates(["id", "tk"])
-    texts = texts.select("id", "tk", plain_words(F.col("t")).alias("words"))
-    # each place of a shared gram is extended to the windows around it, which are compared as text
-    hits = []
-    for n, g in grams.items():
-        at = texts.select("id", "tk", "words", F.posexplode(word_grams(F.col("words"), g)).alias("pos", "h"))
-        at = at.join(prints.where(F.col("len") == n).select("h"), "h", "left_semi")
-        at = at.select("id", "tk", "words", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (n - g)), F.col("pos"))).alias("start")).where(F.col("start") + n <= F.size("words"))
-        hits.append(at.select("id", "tk", F.lit(n).alias("len"), "start", F.concat_ws(" ", F.slice("words", F.col("start") + 1, n)).alias("span")).distinct())
-    hits = staged(_union(hits).join(windows.select("len", "span").distinct(), ["len", "span"], "left_semi"))
+    texts = staged(texts.select("id", "tk", plain_words(F.col("t")).alias("words")))
+    # places of shared grams, without the words; then each document's places are extended to the windows around them, which are compared as text
+    place = lambda n, g: lambda h, i: F.struct(F.lit(n).alias("len"), F.lit(n - g).alias("back"), i.alias("pos"), h.alias("h"))
+    at = texts.select("id", "tk", F.explode(F.concat(*(F.transform(gram_hashes(F.col("words"), g), place(n, g)) for n, g in grams.items()))).alias("x"))
+    at = at.select("id", "tk", "x.*").join(prints, ["len", "h"], "left_semi").groupBy("id", "tk").agg(F.collect_list(F.struct("len", "back", "pos")).alias("places"))  # of one document
+    low, high = lambda p: F.greatest(F.lit(0), p["pos"] - p["back"]), lambda p: F.least(p["pos"], F.size("words") - p["len"])
+    fits = F.filter("places", lambda p: low(p) <= high(p))
+    around = F.array_distinct(F.flatten(F.transform(fits, lambda p: F.transform(F.sequence(low(p), high(p)), lambda s: F.struct(p["len"].alias("len"), s.alias("start"))))))
+    hits = join_rows(at, texts).select("id", "tk", "words", F.explode(around).alias("x")).select("id", "tk", "x.*", F.concat_ws(" ", F.slice("words", F.col("x.start") + 1, F.col("x.len"))).alias("span"))
+    hits = staged(hits.join(windows.select("len", "span").distinct(), ["len", "span"], "left_semi"))
     covered = F.aggregate(
         F.array_sort("runs"),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),

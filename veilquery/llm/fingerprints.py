@@ -51,14 +51,17 @@ def _compared(text: str, following: str) -> tuple:
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row (id, FIELDS) beside the next in descending id order; equal ids by text, rows without an id last, and the first follows the last.
+    """Each row (id, FIELDS) beside the next in descending id order; equal ids by the text's hash, rows without an id last, and the first follows the last.
 
-    Texts are dealt by ranges of the id and sorted, once. Within a part each row waits for the next; the last of a part
-    waits for the first of the next part, and these few (two for each part) are compared apart.
+    Texts are dealt by ranges of the id and of the text's hash and sorted, once; the sample that finds the ranges holds no text. Within a
+    part each row waits for the next; the last of a part waits for the first of the next part, and these few (two for each part) are
+    compared apart.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("t")).sortWithinPartitions(F.col("id").desc_nulls_last(), F.col("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    rows = rows.repartitionByRange(parts, F.col("id").desc_nulls_last(), F.col("h"))
+    rows = rows.sortWithinPartitions(F.col("id").desc_nulls_last(), F.col("h"), F.col("t")).select("id", "t")
     schema = f"id long, {FIELDS}, part int, head string, tail string"
     types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int32(), pa.string(), pa.string()]
     names = [c.split()[0] for c in schema.split(", ")]
@@ -121,7 +124,7 @@ def neighbours(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFra
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, every: int = 50) -> DataFrame:
     """One row per document row: id column, FIELDS and n_near: how many other rows lie within radius, asked for ids divisible by `every` (else null).
 
-    Null and empty texts have n_chars 0 and fingerprint zero. An empty table gives no row; a single row follows itself.
+    Null and empty texts have n_chars 0 and fingerprint zero. An empty table gives no row; a single row follows itself. Ids are whole numbers.
     """
     rows = staged(with_edits(docs, id_col, text_col))
     counts = staged(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows"), F.max(F.expr(f"coalesce(id % {every} = 0, false)")).alias("asked")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.llm.common import components, few, record, row_key, shingles, staged
+from veilquery.llm.common import components, few, record, row_key, shingles, spread_join, staged
 
 SEGMENTS, WIDTH = 16, 4  #: the 64 bits as 16 segments of 4 bits; a segment's bit count is 0 to 4
 
@@ -80,12 +80,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group of their fingerprint but never name it; other columns are left out, so none can clash.
     """
     fps = staged(fingerprints(docs, id_col, text_col, shingle))
-    nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+    nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     found = components(links(nodes))
     named = found.join(nodes.withColumnRenamed("fp", "node"), "node").select("node", "component", "rep")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("fp"), "least")
-    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = staged(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    return spread_join(fps, named, ["fp"], "n", ["id"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def units(words: list[bytes], least: int = 8, mask: int = 15) -> np.ndarray:
@@ -128,10 +128,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # shared units
     parts = texts.select("c", F.size("units").alias("all"), F.explode("units").alias("unit"))
     common = parts.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).where("n > 1")
-    parts = staged(parts.join(common, "unit").select("unit", "c", "all", "low"))
+    common = staged(common)
+    parts = staged(spread_join(parts, common, ["unit"], "n", ["c"]).select("unit", "c", "all"))
     weight = parts.groupBy("c").agg((F.count(F.lit(1)) / F.max("all")).alias("weight"))
     heads = parts.select("unit", "c").join(weight, "c").groupBy("unit").agg(F.max(F.struct("weight", "c")).alias("top")).select("unit", F.col("top.c").alias("top"))
-    pairs = parts.join(heads, "unit").select("c", "all", F.explode(F.array_distinct(F.array("low", "top"))).alias("y")).where("c <> y")
+    heads = staged(heads.join(common, "unit"))
+    pairs = spread_join(parts, heads, ["unit"], "n", ["c"]).select("c", "all", F.explode(F.array_distinct(F.array("low", "top"))).alias("y")).where("c <> y")
     pairs = pairs.groupBy("c", "y").agg(F.count(F.lit(1)).alias("agree"), F.max("all").alias("all"))
     other = texts.select(F.col("c").alias("y"), F.size("units").alias("others"))
     pairs = pairs.join(other, "y").where(F.col("agree") >= shared * F.least("all", "others")).select(F.col("c").alias("x"), "y")

@@ -25,7 +25,7 @@ def corpus():
 def test_held_out_accuracy(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").selectExpr("*", "1 as votes", "2 as score", "3 as tk")
-    found = {r.doc_id: r.keep for r in quality.classify(docs, sample=200).collect()}
+    found = {r.doc_id: r.keep for r in quality.classify(docs, sample=200, abuse=["stupid", "worthless", "idiot"]).collect()}
     assert len(found) == len(rows)
     assert np.mean([found[i] != bool(bad) for i, _, bad in rows]) > 0.97
 
@@ -63,6 +63,43 @@ def test_nulls_empty_and_repeated(spark):
     assert quality.classify(docs.limit(0)).collect() == []
 
 
+def test_em_by_pattern_equals_em_by_row():
+    """The counts of vote patterns give what a pass over all rows gives."""
+    rng = np.random.default_rng(4)
+    fire = (rng.random((400, 7)) < rng.choice([0.1, 0.6], 400)[:, None]).astype(int)
+    keys, n = np.unique(fire @ (1 << np.arange(7)), return_counts=True)
+    got = quality.accuracies(dict(zip(keys.tolist(), n.tolist(), strict=True)), rounds=30)
+    bad, good, prior = np.full(7, 0.3), np.full(7, 0.01), 0.15
+    bad[-1], good[-1] = 0.05, 0.95
+    for _ in range(30):
+        p = []
+        for row in fire:
+            b, g = prior, 1 - prior
+            for k, x in enumerate(row):
+                b *= bad[k] if x else 1 - bad[k]
+                g *= good[k] if x else 1 - good[k]
+            p.append(b / (b + g))
+        p = np.array(p)
+        prior = (p.sum() + 1) / (len(p) + 2)
+        bad = (p @ fire + 0.3) / (p.sum() + 1)
+        good = ((1 - p) @ fire + 0.01) / ((1 - p).sum() + 1)
+    assert np.allclose(got[0], prior)
+    assert np.allclose(got[1], bad)
+    assert np.allclose(got[2], good)
+
+
+def test_score_of_the_linear_scorer_and_ties(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus()[:80]], "doc_id long, text string").selectExpr("*", "1 as keep", "2 as weak_bad")
+    model = quality.train(docs, None, "doc_id", "text", sample=40, epochs=3)
+    for r in quality.judge(docs, model, prefix="x_").collect():
+        found, _ = quality.features(r.text.encode(), model.abuse)
+        z = sum(float(model.weights[k]) for k in found) / len(found) ** 0.5 + model.bias
+        assert abs(r.x_score - 1 / (1 + np.exp(-z))) < 1e-6
+        assert r.x_keep == (r.x_score < 0.5)
+    even = quality.Model(0.5, np.full(7, 0.5), np.full(7, 0.5), np.zeros(1 << quality.BITS, np.float32), 0.0, frozenset())
+    assert {(r.x_score, r.x_keep) for r in quality.judge(docs, even, prefix="x_").collect()} == {(0.5, False)}
+
+
 def test_loops_are_seen_whatever_their_period():
     for period in (200, 201, 202):
         for times, share in ((2, 0.5), (3, 0.67), (4, 0.75)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from veilquery.llm.common import let, row_key, staged, word_grams
 
-#: Words of abuse that one labeller looks for.
-ABUSE = ["arsehole", "asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "vermin", "worthless"]
-_KNOWN = frozenset(ABUSE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TAIL = re.compile(rb"[^\s\w.,;:!?'\")\]}\x80-\xff|-]{2,}(?=\s|$)")
 LABELLERS = ("shouting", "symbols", "bars", "repeats", "abuse", "loops", "prose")  #: the last approves, the others object
@@ -26,7 +23,7 @@ BITS = 18  #: hashed features: 2 ** BITS weights
 
 
 def learned_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = 20_000, share: float = 0.8) -> frozenset[str]:
-    """ABUSE and the words that give away toxic documents among the labelled ones: `share` of their documents are toxic, and these are so
+    """The words that give away toxic documents among the labelled ones: `share` of their documents are toxic, and these are so
     many (3 at least) that chance would hardly bring up one such word.
 
     Fitted on `sample` labelled documents at most, the first by a hash of the id. Of near copies, which share all their words,
@@ -49,7 +46,7 @@ def learned_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     while rate**least * sum(c for n, c in wide.items() if n >= least) > 0.5 and least < 20:
         least += 1
     found = counts.where((F.col("bad") >= least) & (F.col("bad") >= share * F.col("n")))
-    return frozenset(ABUSE) | {r.w for r in found.collect()}  # words of a bounded sample
+    return frozenset(r.w for r in found.collect())  # words of a bounded sample
 
 
 def _mixed(grams, k: int):
@@ -68,12 +65,12 @@ def measures(text: bytes, abuse: frozenset[str]) -> tuple[list[bytes], list[floa
         len(_TAIL.findall(text)) / n,
         words.count(b"|") / n,
         sum(map(operator.eq, words, words[1:])) / n,
-        float(sum(2 if w in _KNOWN else 1 for w in abuse.intersection(_LETTERS.findall(plain.lower())))),
+        float(len(abuse.intersection(_LETTERS.findall(plain.lower())))),
         1 - len(seen) / (len(words) - 2) if len(words) > 2 else 0.0,
     ]
 
 
-#: From which measure on a labeller speaks against a text; a word of ABUSE counts 2, one that was only learned 1.
+#: From which measure on a labeller speaks against a text; of words of abuse it takes two different ones.
 THRESHOLDS = (0.3, 0.25, 0.08, 0.25, 2.0, 0.3)
 
 
@@ -123,13 +120,13 @@ class Model:
     abuse: frozenset[str]
 
 
-def train(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, sample: int = 8192, epochs: int = 40, seed: int = 42) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, sample: int = 8192, epochs: int = 40, seed: int = 42, abuse: Iterable[str] = ()) -> Model:
     """Accuracies from the votes on all documents; the scorer from `sample` documents at most, the first by a hash of the row.
 
-    That bound is a parameter: the linear scorer is fitted on the driver. Vote patterns are 2 ** 7 at most.
+    That bound is a parameter: the linear scorer is fitted on the driver. Vote patterns are 2 ** 7 at most. abuse: words (lower case) that the
+    caller knows; those that labels give away come on top.
     """
-
-    abuse = frozenset(ABUSE) if labels is None else learned_abuse(docs, labels, id_col, text_col)
+    abuse = frozenset(abuse) | (frozenset() if labels is None else learned_abuse(docs, labels, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,10 +167,10 @@ def train(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str,
     return Model(prior, bad, good, weights.astype(np.float32), bias, abuse)
 
 
-def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 good to 1 bad, from the linear scorer), weak_bad (the labellers' posterior) and keep."""
+def judge(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with weak_bad (the labellers' posterior), score (0 good to 1 bad, from the linear scorer; a score of 0.5 is bad) and keep, named with the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = "weak_bad double, score double, keep boolean"
+    added = f"{prefix}weak_bad double, {prefix}score double, {prefix}keep boolean"
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in docs.dtypes), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +180,7 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             z = np.array([m.weights[f].sum(dtype=np.float64) / math.sqrt(max(1, len(f))) + m.bias for f, _ in found])
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             weak = posterior(np.array([v for _, v in found])[:, None] >> np.arange(len(LABELLERS)) & 1, m.prior, m.bad, m.good) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weak), pa.array(score), pa.array(score < 0.5)], [*b.schema.names, "weak_bad", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(weak), pa.array(score), pa.array(score < 0.5)], [*b.schema.names, f"{prefix}weak_bad", f"{prefix}score", f"{prefix}keep"])
 
     return docs.mapInArrow(run, schema)
 
@@ -191,8 +188,8 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document row: id column, weak_bad, score, keep.
 
-    labels (id, toxic), if given, only widens the list of abuse, from a bounded sample. The measures, votes and accuracies cover all documents.
-    Null and empty texts draw no objection. Repeated rows are judged alike. An empty table gives no row; other columns are left out.
+    labels (id, toxic), if given, teach the words of abuse that one labeller looks for, from a bounded sample; without them it knows those given as `abuse` only.
+    The measures, votes and accuracies cover all documents. Null and empty texts draw no objection. Repeated rows are judged alike. An empty table gives no row; other columns are left out.
     """
     model = train(docs, labels, id_col, text_col, **options)
     return judge(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), model, "t").select(F.col("id").alias(id_col), "weak_bad", "score", "keep")

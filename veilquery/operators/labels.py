@@ -24,12 +24,26 @@ def tag_of(label: Column) -> Column:
     return F.substring(label, 3, 1000)
 
 
+def _beside(labels: DataFrame, column: str, added, name: str) -> DataFrame:
+    """labels with a column: added(label, label before, label behind) for labelled tokens, the label itself for O. Neighbours count if they stand next to each other.
+
+    Only labelled tokens are shuffled, few as they are among all.
+    """
+    label, i = F.col(column), F.col("i")
+    before = F.when(F.lag("i").over(within()) == i - 1, F.lag(column).over(within())).otherwise("O")
+    behind = F.when(F.lead("i").over(within()) == i + 1, F.lead(column).over(within())).otherwise("O")
+    return labels.where(label != "O").withColumn(name, added(label, before, behind)).unionByName(labels.where(label == "O").withColumn(name, label))
+
+
 def to_biluo(labels: DataFrame) -> DataFrame:
     """labels with biluo: the last of a chunk is L, a single one U."""
-    nxt = F.lead("label").over(within())
-    ends = F.coalesce(~nxt.startswith("I"), F.lit(True))
-    label = F.col("label")
-    return labels.withColumn("biluo", F.when(label.startswith("B") & ends, F.concat(F.lit("U-"), tag_of(label))).when(label.startswith("I") & ends, F.concat(F.lit("L-"), tag_of(label))).otherwise(label))
+
+    def ending(label: Column, _: Column, behind: Column) -> Column:
+        ends = ~behind.startswith("I")
+        single, last = F.concat(F.lit("U-"), tag_of(label)), F.concat(F.lit("L-"), tag_of(label))
+        return F.when(label.startswith("B") & ends, single).when(label.startswith("I") & ends, last).otherwise(label)
+
+    return _beside(labels, "label", ending, "biluo")
 
 
 def from_biluo(label: Column) -> Column:
@@ -38,9 +52,12 @@ def from_biluo(label: Column) -> Column:
 
 def repair(labels: DataFrame) -> DataFrame:
     """labels whose I that continue nothing become B: judged by the label before, as it was."""
-    before = F.lag("label").over(within())
-    dangling = F.col("label").startswith("I-") & F.coalesce((before == "O") | (tag_of(before) != tag_of(F.col("label"))), F.lit(True))
-    return labels.withColumn("fixed", F.when(dangling, F.concat(F.lit("B-"), tag_of(F.col("label")))).otherwise(F.col("label")))
+
+    def mended(label: Column, before: Column, _: Column) -> Column:
+        dangling = label.startswith("I-") & ((before == "O") | (tag_of(before) != tag_of(label)))
+        return F.when(dangling, F.concat(F.lit("B-"), tag_of(label))).otherwise(label)
+
+    return _beside(labels, "label", mended, "fixed")
 
 
 def violations(labels: DataFrame) -> DataFrame:
@@ -49,9 +66,17 @@ def violations(labels: DataFrame) -> DataFrame:
 
 
 def to_spans(labels: DataFrame, column: str = "label") -> DataFrame:
-    """(doc, ann_id, start, end, tag): each B opens a span that its I tokens extend; numbered from T0 by start."""
+    """(doc, ann_id, start, end, tag): each B opens a span that its I tokens extend; numbered from T0 by start. O tokens go before the shuffle."""
     island = F.sum(F.col(column).startswith("B").cast("int")).over(within().rowsBetween(Window.unboundedPreceding, 0))
-    rows = labels.withColumn("island", island).where(F.col(column) != "O")
-    out = rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(tag_of(F.col(column))).alias("tag"))
+    rows = labels.where(F.col(column) != "O").withColumn("island", island)
+    out = rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(tag_of(F.col(column)), "i").alias("tag"))
     number = F.row_number().over(Window.partitionBy("doc").orderBy("start")) - 1
     return out.select("doc", F.concat(F.lit("T"), number).alias("ann_id"), "start", "end", "tag")
+
+
+def sentences_merged(tokens: DataFrame, column: str = "label") -> DataFrame:
+    """tokens (doc, i, sent_id, label) whose sentences that start inside an entity, at an I or L, belong to the one before; numbered anew from 0."""
+    first = Window.partitionBy("doc", "sent_id")
+    opens = (F.col("i") == F.min("i").over(first)) & ~F.min_by(column, "i").over(first).rlike("^[IL]-")
+    number = F.sum(opens.cast("int")).over(within().rowsBetween(Window.unboundedPreceding, 0))
+    return tokens.withColumn("sent_id", F.greatest(F.lit(0), number - 1).cast("int"))

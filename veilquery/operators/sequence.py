@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,69 @@ def narrow_features(words: list[str]) -> list[list[str]]:
     return out
 
 
+def described(words: list[str], pos: list[str], kinds: list[str | None] | None = None) -> list[dict]:
+    """The wide features by name, with parts of speech and entity types from a tagger outside: for each word 56 of them.
+
+    Runs of one to three lower-cased words, and of their parts of speech, among two to each side; the word with the parts of speech around
+    it; the sentence's length, end and brackets; affixes, flags and shapes of the word. White space in strings is spelled out.
+    """
+    n = len(words)
+    depth = sum(w in "([{" for w in words if w) - sum(w in ")]}" for w in words if w)
+    sentence = {"sent.len(sent)": n, "sent.end_mark": bool(words) and words[-1].strip() in ("!", "?", "."), "sent.has_unmatched_bracket": depth != 0}
+    low, tags = [PAD, PAD, *map(str.lower, words), PAD, PAD], [PAD, PAD, *pos, PAD, PAD]
+    sides = {"p-1": (1,), "p0": (2,), "p1": (3,), "p-1p0": (1, 2), "p0p1": (2, 3), "p-1p1": (1, 3), "p-1p0p1": (1, 2, 3)}
+    sizes = {"uni": 1, "bi": 2, "tri": 3}
+    out = []
+    for i, w in enumerate(words):
+        f = {f"{name}[-2:2].{size}.{k}": "|".join(row[i + k : i + k + m]) for name, row in (("bow", low), ("pos", tags)) for size, m in sizes.items() for k in range(6 - m)}
+        f |= {f"bowpos.w0{side}": "|".join([low[i + 2], *(tags[i + k] for k in at)]) for side, at in sides.items()} | sentence
+        f |= {f"suffix[-{m}:]": low[i + 2][-m:] for m in range(1, 6)} | {f"prefix[:{m}]": low[i + 2][:m] for m in range(1, 6)}
+        inner, form = w[1:], shape(w)
+        f |= {"word.isupper()": w.isupper(), "word.istitle()": w.istitle(), "word.isdigit()": w.isdigit(), "word.contains_digit": any(map(str.isdigit, w))}
+        f |= {"word.has_upper_inside": any(map(str.isupper, inner)), "word.has_punct_inside": any(c in string.punctuation for c in inner), "word.has_digit_inside": any(map(str.isdigit, inner))}
+        f |= {"word.is_ascii": w.isascii(), "word.ner_tag": kinds[i] if kinds else None, "word.pos_tag": pos[i], "shape.long": form, "shape.short": re.sub(r"(.)\1+", r"\1", form)}
+        out.append({k: _spelled(v) for k, v in f.items()})
+    return out
+
+
+def described_briefly(words: list[str], pos: list[str]) -> list[dict]:
+    """The narrow features by name: the word, its endings, case and part of speech, those of the words beside it, and the ends of the sentence."""
+    case = lambda w: {"word.lower()": w.lower(), "word.istitle()": w.istitle(), "word.isupper()": w.isupper()}
+    part = lambda p: {"pos_tag": p, "pos_tag[:2]": p[:2]}
+    out = []
+    for i, w in enumerate(words):
+        f = {"bias": 1.0, "word[-3:]": w[-3:], "word[-2:]": w[-2:], "word.isdigit()": w.isdigit()} | case(w) | part(pos[i])
+        for side, end in ((-1, "BOS"), (1, "EOS")):
+            if 0 <= i + side < len(words):
+                f |= {f"{side:+d}:{k}": v for k, v in (case(words[i + side]) | part(pos[i + side])).items()}
+            else:
+                f[end] = True
+        out.append({k: _spelled(v) for k, v in f.items()})
+    return out
+
+
+def _spelled(value):
+    return re.sub(r"\s", "#SPACE", value.replace("\n", "#NEWLINE")) if isinstance(value, str) else value
+
+
+def feature_rows(rows: DataFrame, words_col: str = "words", pos_col: str = "pos", kinds_col: str | None = None) -> DataFrame:
+    """(doc, sent_id, i, features as text by name) for sentences with parallel arrays of words and parts of speech; the latter from any tagger, "" without one."""
+    columns = [F.col("doc"), F.col("sent_id"), F.col(words_col), F.col(pos_col) if pos_col in rows.columns else F.transform(words_col, lambda _: F.lit("")), F.col(kinds_col) if kinds_col else F.lit(None).cast("array<string>")]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                words, pos, types = (b.column(c)[k].as_py() for c in (2, 3, 4))
+                made = [[(name, v if isinstance(v, str) else str(v).lower()) for name, v in f.items() if v is not None] for f in described(words or [], pos or [], types)]
+                n = len(made)
+                same = [pa.array([b.column(c)[k].as_py()] * n, b.column(c).type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(n), pa.int32()), pa.array(made, pa.map_(pa.string(), pa.string()))], ["doc", "sent_id", "i", "features"])
+
+    named = [c.alias(n) for c, n in zip(columns, ("doc", "sent_id", "words", "pos", "kinds"), strict=True)]
+    return rows.select(*named).mapInArrow(run, f"doc {kinds['doc']}, sent_id {kinds['sent_id']}, i int, features map<string,string>")
+
+
 FEATURES = {"wide": wide_features, "narrow": narrow_features}
 
 

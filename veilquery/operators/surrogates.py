@@ -54,20 +54,31 @@ DIAL_CODES = """
 561 562 566 570 571 572 573 575 577 578 58 591 592 593 594 595 596 597 598 599 70 71 72 73 74 75 76 77 78 79
 """.split()
 DIAL = {n: [c for c in DIAL_CODES if len(c) == n] for n in (1, 2, 3)}
-#: Country, separators, dial code, separators, number.
-PHONE = r"^((?:(?:\+|00)31)?)([ -]*[(0)]*[ (-]*)((?:" + "|".join([*DIAL[3], *DIAL[2], *DIAL[1]]) + r")?)([ )-]*)((?:[0-9][ -]*)+)(.*)$"
+#: What a number may be written with; it ends at the first other character.
+PHONE_BODY = r"^[+0-9(][0-9()./ -]*"
 
 
 def phone(text: Column, k: Column) -> Column:
-    """Dutch numbers: a dial code of the same length and drawn digits, the first of them not 0. Null where there is no number of 7 places or more."""
-    g = [F.regexp_extract(text, PHONE, i) for i in range(1, 7)]
-    codes = F.lit(None).cast("string")
-    for n, values in DIAL.items():
-        codes = F.when(F.length(g[2]) == n, F.get(F.array(*map(F.lit, values)), draw(F.concat_ws("|", k, F.lit("dial")), len(values)).cast("int"))).otherwise(codes)
-    place = lambda i: F.concat_ws("|", k, i.cast("string"))
-    number = F.array_join(F.transform(F.filter(F.split(g[4], ""), lambda c: c != ""), lambda c, i: F.when(~c.rlike("[0-9]"), c).when(i == 0, pick(place(i), "123456789")).otherwise(pick(place(i), "0123456789"))), "")
-    valid = text.rlike(PHONE) & (F.length(F.concat(*g[:5])) >= 7)
-    return F.when(valid, F.concat(g[0], g[1], F.coalesce(codes, F.lit("")), g[3], number, g[5]))
+    """Dutch numbers by the numbering plan: country code and trunk 0 stay, the area code becomes a drawn one of its length, the subscriber's digits are drawn, the first not 0.
+
+    All other characters stay where they are, and so does what follows the number. Null where fewer than 7 digits stand at the start.
+    """
+    body = F.regexp_extract(text, PHONE_BODY, 0)
+    digits = F.regexp_replace(body, "[^0-9]", "")
+    country = F.when(F.startswith(body, F.lit("+31")), 2).when(F.startswith(body, F.lit("0031")), 4).otherwise(0)
+    trunk = country + F.when(F.substring(digits, country + 1, F.lit(1)) == "0", 1).otherwise(0)
+    area = F.lit(0)
+    code = F.lit("")
+    for n, values in DIAL.items():  # of codes that begin alike the longest counts
+        fits = F.substring(digits, trunk + 1, F.lit(n)).isin(values)
+        area = F.when(fits, n).otherwise(area)
+        code = F.when(fits, F.get(F.array(*map(F.lit, values)), draw(F.concat_ws("|", k, F.lit("dial")), len(values)).cast("int"))).otherwise(code)
+    own = trunk + area
+    drawn = lambda i: F.when(i == own, pick(F.concat_ws("|", k, F.lit("0")), "123456789")).otherwise(pick(F.concat_ws("|", k, (i - own).cast("string")), "0123456789"))
+    digit = lambda i, c: F.when(i < trunk, c).when(i < own, F.substring(code, i - trunk + 1, F.lit(1))).otherwise(drawn(i))
+    ahead = lambda i: F.length(F.regexp_replace(F.substring(body, F.lit(1), i), "[^0-9]", ""))
+    made = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), digit(ahead(i), c)).otherwise(c))
+    return F.when(F.length(digits) >= 7, F.concat(F.array_join(made, ""), F.substring(text, F.length(body) + 1, F.length(text))))
 
 
 def zip_code(text: Column, sample: Column) -> Column:

@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dutch abbreviations that are one token.
-ABBREVIATIONS = ["dhr.", "mevr.", "mw.", "dr.", "drs.", "ir.", "mr.", "prof.", "evt.", "bijv.", "i.v.m.", "m.b.t.", "o.a.", "t.a.v.", "z.n."]
+#: Dutch abbreviations that are one token, as written here or all in lower case.
+ABBREVIATIONS = ["B.Sc.", "Co.", "Dhr.", "Dr.", "M.Sc.", "Mevr.", "Mgr.", "Mr.", "Mw.", "O.K.", "a.u.b.", "ca.", "e.g.", "etc.", "v.d."]
+#: More of them, of this package.
+OWN_ABBREVIATIONS = ["Drs.", "Ir.", "Prof.", "evt.", "bijv.", "i.v.m.", "m.b.t.", "o.a.", "t.a.v.", "z.n."]
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
 PLAIN = WORD + r"|[\x09-\x0D\x20]+|[^\x09-\x0D\x20]"
-DUTCH = "|".join([r"=== (?:Report|Answer): [0-9]+ ===\n", r"(?<![^\W_])(?:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r")", r"[^\s@]+@[^\s@]+\.[^\s@.]+", r"[0-9]+(?:[/.,:-][0-9]+)+", r"[^\W\d_]\.(?=\s|$)", PLAIN])
+_SHORT = sorted({f for a in ABBREVIATIONS + OWN_ABBREVIATIONS for f in (a, a.lower())}, key=lambda a: (-len(a), a))
+DUTCH = "|".join([r"=== (?:Report|Answer): [0-9]+ ===\n", r"(?<![^\W_])(?:" + "|".join(re.escape(a) for a in _SHORT) + r")", r"[^\s@]+@[^\s@]+\.[^\s@.]+", r"[0-9]+(?:[/.,:-][0-9]+)+", r"(?<![^\W_])[^\W\d_]\.(?=\s|$)", PLAIN])
 PATTERNS = {"plain": PLAIN, "nl": DUTCH}
 
 
@@ -22,7 +25,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str = "text", language: str
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(PATTERNS[language], re.IGNORECASE if language == "nl" else 0).finditer
+        find = re.compile(PATTERNS[language]).finditer
         for b in batches:
             for k, text in enumerate(b.column(1)):
                 found = [(m.start(), m.end(), m[0]) for m in find(text.as_py() or "")]
@@ -34,6 +37,40 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str = "text", language: str
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).mapInArrow(run, f"doc {kind}, i int, start int, end int, text string")
 
 
+def labelled(docs: DataFrame, id_col: str, spans: dict[str, str], text_col: str = "text", language: str = "plain") -> DataFrame:
+    """tokenize() with a BIO label in a column of its own for each array of spans: spans maps the label's column to the column of spans.
+
+    A span counts if it starts where a token starts and ends where one ends; of overlapping ones the first by start, end and tag. Null arrays are
+    empty. Each text is labelled beside its own spans, so there is no shuffle.
+    """
+    kind, names = dict(docs.dtypes)[id_col], list(spans)
+
+    def labels(found: list, start: dict, end: dict, n: int) -> list[str]:
+        out: list = [None] * n
+        for a, b, tag in sorted({(s["start"], s["end"], s["tag"]) for s in found or ()}):
+            if a in start and b in end and a < b:
+                for i in range(start[a], end[b] + 1):
+                    if out[i] is None:
+                        out[i] = ("B-" if i == start[a] else "I-") + tag
+        return [x or "O" for x in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(PATTERNS[language]).finditer
+        for b in batches:
+            for k, text in enumerate(b.column(1)):
+                found = [(m.start(), m.end(), m[0]) for m in find(text.as_py() or "")]
+                if found:
+                    start, end, words = zip(*found, strict=True)
+                    n = len(found)
+                    firsts, lasts = {x: i for i, x in enumerate(start)}, {x: i for i, x in enumerate(end)}
+                    columns = [pa.array([b.column(0)[k].as_py()] * n, b.column(0).type), pa.array(range(n), pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.string())]
+                    columns += [pa.array(labels(b.column(2 + j)[k].as_py(), firsts, lasts, n), pa.string()) for j in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "i", "start", "end", "text", *names])
+
+    columns = [F.col(id_col).alias("doc"), F.col(text_col).alias("t"), *(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag"))).alias(f"s{j}") for j, c in enumerate(spans.values()))]
+    return docs.select(*columns).mapInArrow(run, ", ".join([f"doc {kind}, i int, start int, end int, text string", *(f"`{n}` string" for n in names)]))
+
+
 def in_document(*order: str):
     return Window.partitionBy("doc").orderBy(*order)
 
@@ -63,16 +100,40 @@ def context(tokens: DataFrame, width: int = 2, pad: str = "<PAD>") -> DataFrame:
     return tokens.withColumns({f"w{k:+d}" if k else "w0": (F.lag("text", -k, pad).over(w) if k < 0 else F.lead("text", k, pad).over(w) if k else F.col("text")) for k in range(-width, width + 1)})
 
 
-def flags(tokens: DataFrame) -> DataFrame:
-    """tokens with affixes, shapes and case flags."""
-    t = F.col("text")
+#: Letters with case; a title has an upper-case one after every other character, and lower-case ones only after letters with case.
+_CASED = r"[\p{Lu}\p{Lt}\p{Ll}]"
+TITLE = r"^[^\p{Lu}\p{Lt}\p{Ll}]*[\p{Lu}\p{Lt}]\p{Ll}*(?:[^\p{Lu}\p{Lt}\p{Ll}]+[\p{Lu}\p{Lt}]\p{Ll}*)*[^\p{Lu}\p{Lt}\p{Ll}]*$"
+
+
+def flags(tokens: DataFrame, text_col: str = "text") -> DataFrame:
+    """tokens with affixes, shapes and flags of case, digits and marks, by Unicode letters."""
+    t = F.col(text_col)
+    inner = F.expr(f"substring(`{text_col}`, 2)")
+    upper = t.rlike(r"[\p{Lu}\p{Lt}]") & ~t.rlike(r"\p{Ll}")
     return tokens.withColumns({
-        "prefix1": F.left(t, F.lit(1)), "prefix2": F.left(t, F.lit(2)), "prefix3": F.left(t, F.lit(3)), "suffix1": F.right(t, F.lit(1)), "suffix2": F.right(t, F.lit(2)), "suffix3": F.right(t, F.lit(3)),
-        "is_upper": (t == F.upper(t)) & (t != F.lower(t)), "is_title": t.rlike(r"^[A-Z][^A-Z]*$"), "is_digit": t.rlike(r"^[0-9]+$"), "has_digit": t.rlike("[0-9]"), "is_ascii": t.rlike(r"^[\x00-\x7F]*$"), "shape": shape(t),
-        "short_shape": collapsed(shape(t)),
+        **{f"prefix{n}": F.left(t, F.lit(n)) for n in range(1, 6)}, **{f"suffix{n}": F.right(t, F.lit(n)) for n in range(1, 6)},
+        "is_upper": upper, "is_title": t.rlike(TITLE), "is_digit": t.rlike(r"^\p{Nd}+$"), "has_digit": t.rlike(r"\p{Nd}"), "is_ascii": t.rlike(r"^[\x00-\x7F]*$"),
+        "upper_inside": inner.rlike(r"\p{Lu}"), "digit_inside": inner.rlike(r"\p{Nd}"), "mark_inside": inner.rlike(r"[!-/:-@\[-`{-~]"),
+        "shape": shape(t), "short_shape": collapsed(shape(t)),
     })
 
 
+def escaped(text: Column) -> Column:
+    """White space in string features, spelled out: line breaks first."""
+    return F.regexp_replace(F.regexp_replace(text, r"\n", "#NEWLINE"), r"(?U)\s", "#SPACE")
+
+
+def space_renamed(text: Column, name: str = "<SPACE>") -> Column:
+    """Tokens of white space only, by a name, as taggers want them that can't take blanks."""
+    return F.when(text.rlike(r"^(?U)\s*$"), F.lit(name)).otherwise(text)
+
+
+def space_forced(tokens: DataFrame, label_col: str = "label", text_col: str = "text", name: str = "<SPACE>") -> DataFrame:
+    """tokens whose white space, named or not, has the label O."""
+    blank = (F.col(text_col) == name) | F.col(text_col).rlike(r"^(?U)\s*$")
+    return tokens.withColumn(label_col, F.when(blank, "O").otherwise(F.col(label_col)))
+
+
 def sentence_features(tokens: DataFrame) -> DataFrame:
     """tokens with the sentence's length, last token and whether its brackets are unmatched."""
     w = Window.partitionBy("doc", "sent_id")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilquery.functions.draws import draw, key
-from veilquery.operators import corpus, dates, detect, evaluate, generators, labels, locations, names, rewrite, sequence, surrogates, tokens
+from veilquery.operators import corpus, dates, detect, evaluate, generators, labels, locations, markup, names, plug, rewrite, sequence, surrogates, tagger, tokens
 
 SEED = 42
 
@@ -25,6 +25,13 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.spans(documents(spark, sf_dir), "doc_id")
 
 
+def predicted_spans(spans: Column, doc: Column, salt: str = "run") -> Column:
+    """predicted() for arrays of spans."""
+    kind = lambda s: draw(key(salt, doc, s["start"]), 8)
+    changed = lambda s: F.struct(s["start"].alias("start"), F.when(kind(s) == 1, s["end"] + 1).otherwise(s["end"]).alias("end"), F.when(kind(s) == 2, "ID").otherwise(s["tag"]).alias("tag"))
+    return F.transform(F.filter(spans, lambda s: kind(s) != 0), changed)
+
+
 def predicted(spans: DataFrame, salt: str = "run") -> DataFrame:
     """A run to evaluate: of the spans a drawn part is dropped, one is longer, one has another tag."""
     kind = draw(key(salt, F.col("doc"), F.col("start")), 8)
@@ -85,13 +92,14 @@ def sentence_segments(spark, sf_dir):
 
 
 def word_shapes(spark, sf_dir):
-    words = tokens.tokenize(documents(spark, sf_dir), "doc_id").where(F.col("text").rlike(r"^[\x21-\x7E]+$"))
+    words = corpus.counted(tokens.tokenize(documents(spark, sf_dir), "doc_id"))
     return words.select(tokens.shape(F.col("text")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_context(spark, sf_dir):
-    rows = tokens.context(tokens.sentences(tokens.tokenize(documents(spark, sf_dir), "doc_id")), 1)
-    return rows.groupBy(F.col("w-1").alias("before"), F.col("w0").alias("token"), F.col("w+1").alias("after")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = tokens.context(tokens.sentences(tokens.tokenize(documents(spark, sf_dir), "doc_id")))
+    names = {"w-2": "before2", "w-1": "before", "w0": "token", "w+1": "after", "w+2": "after2"}
+    return rows.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_features(spark, sf_dir):
@@ -100,16 +108,16 @@ def token_features(spark, sf_dir):
 
 
 def orthographic_flags(spark, sf_dir):
-    words = tokens.tokenize(documents(spark, sf_dir), "doc_id").where(F.col("text").rlike(r"^[\x21-\x7E]+$"))
+    words = corpus.counted(tokens.tokenize(documents(spark, sf_dir), "doc_id"))
     return tokens.flags(words).groupBy("is_upper", "is_title", "is_digit", "has_digit", "prefix1", "suffix3").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_frequency(spark, sf_dir):
-    return corpus.terms(tokens.tokenize(documents(spark, sf_dir), "doc_id").where(F.col("text").rlike(r"^[\x21-\x7E]+$")))
+    return corpus.terms(tokens.tokenize(documents(spark, sf_dir), "doc_id"))
 
 
 def vocabulary_size(spark, sf_dir):
-    return corpus.vocabulary(tokens.tokenize(documents(spark, sf_dir), "doc_id").where(F.col("text").rlike(r"^[\x21-\x7E]+$")))
+    return corpus.vocabulary(tokens.tokenize(documents(spark, sf_dir), "doc_id"))
 
 
 def corpus_stats(spark, sf_dir):
@@ -117,15 +125,15 @@ def corpus_stats(spark, sf_dir):
 
 
 def encoded(spark, sf_dir):
-    return labels.encode(tokens.tokenize(documents(spark, sf_dir), "doc_id"), gold(spark, sf_dir))
+    return tokens.labelled(detect.annotate(documents(spark, sf_dir)), "doc_id", {"label": "spans"})
 
 
 def bio_encode(spark, sf_dir):
-    return encoded(spark, sf_dir).where("label <> 'O'").select(F.col("doc").alias("doc_id"), "i", "start", "end", "label")
+    return encoded(spark, sf_dir).select(F.col("doc").alias("doc_id"), "i", "start", "end", "label")
 
 
 def bio_to_biluo(spark, sf_dir):
-    return labels.to_biluo(encoded(spark, sf_dir)).where("biluo <> 'O'").select(F.col("doc").alias("doc_id"), "i", "biluo", labels.from_biluo(F.col("biluo")).alias("bio"))
+    return labels.to_biluo(encoded(spark, sf_dir)).select(F.col("doc").alias("doc_id"), "i", "biluo", labels.from_biluo(F.col("biluo")).alias("bio"))
 
 
 def dangling(spark, sf_dir):
@@ -134,7 +142,7 @@ def dangling(spark, sf_dir):
 
 
 def fix_dangling(spark, sf_dir):
-    return labels.repair(dangling(spark, sf_dir)).where("label <> 'O'").select(F.col("doc").alias("doc_id"), "i", "label", "fixed")
+    return labels.repair(dangling(spark, sf_dir)).select(F.col("doc").alias("doc_id"), "i", "label", "fixed")
 
 
 def label_violations(spark, sf_dir):
@@ -155,11 +163,9 @@ def macro_metrics(spark, sf_dir):
 
 
 def token_labels(spark, sf_dir):
-    rows, g = tokens.tokenize(documents(spark, sf_dir), "doc_id"), gold(spark, sf_dir)
-    tag = lambda c: F.when(F.col(c) == "O", "O").otherwise(labels.tag_of(F.col(c)))
-    a = labels.encode(rows, g).select("doc", "i", tag("label").alias("gold"))
-    b = labels.encode(rows, predicted(g)).select("doc", "i", tag("label").alias("pred"))
-    return a.join(b, ["doc", "i"])
+    docs = detect.annotate(documents(spark, sf_dir)).withColumn("run", predicted_spans(F.col("spans"), F.col("doc_id")))
+    tag = lambda c: F.when(F.col(c) == "O", "O").otherwise(labels.tag_of(F.col(c))).alias(c)
+    return tokens.labelled(docs, "doc_id", {"gold": "spans", "pred": "run"}).select("doc", "i", tag("gold"), tag("pred"))
 
 
 def token_metrics(spark, sf_dir):
@@ -195,7 +201,7 @@ def run_summary(spark, sf_dir):
 
 def significance_test(spark, sf_dir):
     g = gold(spark, sf_dir)
-    return evaluate.significance(g, predicted(g, "a"), predicted(g, "b"), 200, SEED)
+    return evaluate.significance(g, predicted(g, "a"), predicted(g, "b"), seed=SEED)
 
 
 def surrogated(spark, sf_dir):
@@ -372,6 +378,107 @@ def training_fraction(spark, sf_dir):
     return sequence.fraction(sequence.sentences(rows), 0.25, SEED).agg(F.count(F.lit(1)).alias("n_sentences"))
 
 
+def rule_tags(spark, sf_dir):
+    """Spans of the Dutch rule tagger in all documents."""
+    return tagger.annotate(documents(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+def rule_tags_rewritten(spark, sf_dir):
+    """Spans as a rule tagger gives them, made of a customer's number, with the corpus' tags, without metadata numbers and prefixes."""
+    k = F.col("c_custkey").cast("string")
+    number = F.lpad(k, 7, "1")
+    text = F.concat(F.lit("=== Report: "), number, F.lit(" === Dhr. Jansen"), k, F.lit(", mevr., nr "), number)
+    at = lambda start, end, tag: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(tag).alias("tag"), F.substring(text, start + 1, end - start).alias("text"))
+    name_end = F.lit(35) + F.length(k)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), F.array(at(F.lit(12), F.lit(19), "PATIENTNUMMER"), at(F.lit(24), name_end, "PERSOON"), at(name_end + 2, name_end + 7, "PERSOON"), at(name_end + 12, name_end + 19, "PATIENTNUMMER")).alias("spans"))
+    return rows.select("c_custkey", F.explode(tagger.rewritten(F.col("spans"), F.col("text"))).alias("s")).select("c_custkey", "s.*")
+
+
+PHRASES = [("A", "the of"), ("A", "of the"), ("B", "of the in"), ("C", "de la"), ("D", "der die"), ("B", "Of The")]
+
+
+def dictionary_spans(spark, sf_dir):
+    phrases = spark.createDataFrame(PHRASES, "tag string, phrase string")
+    return tagger.dictionary(documents(spark, sf_dir), phrases, "doc_id", longest=3).withColumnRenamed("doc", "doc_id")
+
+
+def inline_markup(spark, sf_dir):
+    marked = F.concat(F.lit("Naam <PERSOON "), F.col("c_name"), F.lit(" <LOCATIE "), F.col("c_mktsegment"), F.lit(">> is < 9, nr <ID "), F.col("c_custkey").cast("string"), F.lit(">."))
+    rows = markup.unmark(table(spark, sf_dir, "customer").select("c_custkey", marked.alias("marked")))
+    return rows.select("c_custkey", F.col("text").alias("plain"), F.explode("spans").alias("s")).select("c_custkey", "plain", "s.*")
+
+
+def load_email_tagger():
+    import re
+
+    find = re.compile(detect.RULES[0][1]).finditer
+    return lambda texts: [[(m.start(), m.end(), "Email") for m in find(t)] for t in texts]
+
+
+def plugged_tagger(spark, sf_dir):
+    """A tagger from outside, here a pattern, run through the plug point."""
+    rows = plug.annotate(documents(spark, sf_dir), load_email_tagger, ["Email"])
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+def merged_sentences(spark, sf_dir):
+    """Sentences with dangling labels, merged where one starts inside an entity."""
+    rows = labels.sentences_merged(tokens.sentences(dangling(spark, sf_dir)))
+    return rows.groupBy(F.col("doc").alias("doc_id"), "sent_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_tokens"))
+
+
+def space_tokens(spark, sf_dir):
+    rows = tokens.tokenize(documents(spark, sf_dir), "doc_id").withColumn("label", F.concat(F.lit("B-"), F.length("text").cast("string")))
+    rows = tokens.space_forced(rows.withColumn("text", tokens.space_renamed(F.col("text"))))
+    return rows.where("text = '<SPACE>'").groupBy(F.col("doc").alias("doc_id"), "text", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def escaped_blanks(spark, sf_dir):
+    rows = tokens.tokenize(documents(spark, sf_dir), "doc_id")
+    return rows.select(tokens.escaped(F.col("text")).alias("escaped")).groupBy("escaped").agg(F.count(F.lit(1)).alias("n"))
+
+
+def development_holdout(spark, sf_dir):
+    return corpus.holdout(documents(spark, sf_dir), "doc_id", seed=SEED)
+
+
+def predefined_folds(spark, sf_dir):
+    parts = corpus_split(spark, sf_dir)
+    return corpus.predefined_fold(parts.where("part = 'train'"), parts.where("part = 'dev'"))
+
+
+def bio_report(spark, sf_dir):
+    docs = detect.annotate(documents(spark, sf_dir)).withColumn("run", predicted_spans(F.col("spans"), F.col("doc_id")))
+    return evaluate.bio_report(tokens.labelled(docs, "doc_id", {"gold": "spans", "pred": "run"}))
+
+
+def metric_lines(spark, sf_dir):
+    return evaluate.report_lines(entity_metrics(spark, sf_dir))
+
+
+def corpus_summary(spark, sf_dir):
+    """Twelve scores of two runs by part."""
+    parts = corpus_split(spark, sf_dir).withColumnRenamed("doc_id", "doc")
+    docs = detect.annotate(documents(spark, sf_dir))
+    for name in "ab":
+        docs = docs.withColumn(name, predicted_spans(F.col("spans"), F.col("doc_id"), name))
+    tag = lambda c: F.when(F.col(c) == "O", "O").otherwise(labels.tag_of(F.col(c)))
+    found = tokens.labelled(docs, "doc_id", {"gold": "spans", "a": "a", "b": "b"}).join(parts, "doc")
+    pairs = found.select("part", tag("gold").alias("gold"), F.explode(F.array(*(F.struct(F.lit(n).alias("run_id"), tag(n).alias("pred")) for n in "ab"))).alias("x")).select("x.run_id", "part", "gold", "x.pred")
+    g = gold(spark, sf_dir).join(parts, "doc").select("part", *evaluate.ENTITY)
+    both = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array(*(F.struct(F.lit(n).alias("run_id"), F.col(n).alias("spans")) for n in "ab"))).alias("x")).select("doc", "x.run_id", F.explode("x.spans").alias("s")).select("doc", "run_id", "s.*")
+    return evaluate.summary(g, both.join(parts, "doc").select("run_id", "part", *evaluate.ENTITY), pairs)
+
+
+def wide_feature_counts(spark, sf_dir):
+    """How often each named feature takes each value, for features of the word alone and of its sentence."""
+    rows = tokens.sentences(corpus.counted(tokens.tokenize(documents(spark, sf_dir), "doc_id")))
+    per = rows.groupBy("doc", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("words"))
+    kept = ["word.isupper()", "word.istitle()", "word.contains_digit", "word.is_ascii", "shape.short", "sent.end_mark"]
+    found = sequence.feature_rows(per).select(F.explode(F.map_filter("features", lambda k, _: k.isin(kept))).alias("feature", "value"))
+    return found.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_documents": mask_documents,
     "detect_email": detection("Email"),
@@ -385,5 +492,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corpus_stats, bio_encode, bio_to_biluo, fix_dangling, label_violations, bio_to_spans, entity_metrics, macro_metrics, token_metrics, token_blind_metrics, annotator_agreement, unflatten_tags, run_summary, significance_test, span_surrogates,
         surrogate_id, surrogate_email, surrogate_url, surrogate_age, surrogate_initials, surrogate_phone, surrogate_zip, surrogate_date, corpus_shuffle, surrogate_documents, errors_ignore, failed_replacements, rewrite_table, manual_override,
         documents_without_annotations, documents_by_language, parse_dates, surrogate_date_texts, surrogate_dates_drawn, parse_names, surrogate_names, parse_locations, surrogate_locations, surrogate_corpus, crf_predictions, training_fraction,
+        rule_tags, rule_tags_rewritten, dictionary_spans, inline_markup, plugged_tagger, merged_sentences, space_tokens, escaped_blanks, development_holdout, predefined_folds, bio_report, metric_lines, corpus_summary, wide_feature_counts,
     )
 }

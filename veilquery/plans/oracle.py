@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veilquery.operators.surrogates import DIAL
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
@@ -47,7 +49,9 @@ SENTENCES = r"""sents AS (
   SELECT *, sum(s) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING)::INT AS sent_id
   FROM (SELECT *, CASE WHEN (regexp_full_match(l1, '[\x09-\x0D\x20]+') AND (l2 IN ('.', '!', '?') OR contains(l1, chr(10)))) OR starts_with(l1, '===') OR (starts_with(text, '===') AND l1 IS NOT NULL) THEN 1 ELSE 0 END AS s
         FROM (SELECT *, lag(text, 1) OVER (PARTITION BY doc ORDER BY i) AS l1, lag(text, 2) OVER (PARTITION BY doc ORDER BY i) AS l2 FROM tokens)))"""
-ASCII_WORDS = r"words AS (SELECT * FROM tokens WHERE regexp_full_match(text, '[\x21-\x7E]+'))"
+WORDS = r"words AS (SELECT * FROM tokens WHERE NOT regexp_full_match(text, '[\x09-\x0D\x20]+') AND NOT starts_with(text, '==='))"
+CASED = r"[\p{Lu}\p{Lt}\p{Ll}]"
+OTHER, CAPITAL = r"[^\p{Lu}\p{Lt}\p{Ll}]", r"[\p{Lu}\p{Lt}]"
 
 
 def bio(name: str, spans: str) -> str:
@@ -106,7 +110,7 @@ IPS = url(f"SELECT *, {SPAN_KEY} AS key FROM gold WHERE tag = 'URL_IP'")
 MASKED = "text"
 for _tag, _p in PATTERNS:
     MASKED = f"regexp_replace({MASKED}, '{_p}', '[{_tag.upper()}]', 'g')"
-SHAPE = "translate(translate(regexp_replace(text, '[^A-Za-z0-9]', '-', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', repeat('A', 26)), 'abcdefghijklmnopqrstuvwxyz0123456789', repeat('a', 26) || repeat('#', 10))"
+SHAPE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L}0-9]', '-', 'g'), '\p{Lu}', 'A', 'g'), '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]', 'a', 'g'), '[0-9]', '#', 'g')"
 TRIALS = f"""per AS (
   SELECT doc, sum(tp_a) AS tp_a, sum(fp_a) AS fp_a, sum(fn_a) AS fn_a, sum(tp_b) AS tp_b, sum(fp_b) AS fp_b, sum(fn_b) AS fn_b FROM (
     SELECT doc, g * p AS tp_a, (1 - g) * p AS fp_a, g * (1 - p) AS fn_a, 0 AS tp_b, 0 AS fp_b, 0 AS fn_b FROM {both('gold', 'a')}
@@ -114,7 +118,7 @@ TRIALS = f"""per AS (
 trials AS (
   SELECT trial, sum(CASE WHEN s THEN tp_b ELSE tp_a END) AS tp_a, sum(CASE WHEN s THEN fp_b ELSE fp_a END) AS fp_a, sum(CASE WHEN s THEN fn_b ELSE fn_a END) AS fn_a,
          sum(CASE WHEN s THEN tp_a ELSE tp_b END) AS tp_b, sum(CASE WHEN s THEN fp_a ELSE fp_b END) AS fp_b, sum(CASE WHEN s THEN fn_a ELSE fn_b END) AS fn_b
-  FROM (SELECT *, trial > 0 AND {draw("'42|' || trial || '|' || doc", 2)} = 1 AS s FROM per, range(0, 201) t(trial)) GROUP BY trial),
+  FROM (SELECT *, trial > 0 AND {draw("'42|' || trial || '|' || doc", 2)} = 1 AS s FROM per, range(0, 10000) t(trial)) GROUP BY trial),
 pr AS (SELECT trial, {ratio('tp_a', 'tp_a + fp_a')} AS pa, {ratio('tp_a', 'tp_a + fn_a')} AS ra, {ratio('tp_b', 'tp_b + fp_b')} AS pb, {ratio('tp_b', 'tp_b + fn_b')} AS rb FROM trials),
 gaps AS (
   SELECT trial, 'precision' AS metric, round_even(abs(pa - pb), 6) AS gap FROM pr UNION ALL SELECT trial, 'recall', round_even(abs(ra - rb), 6) FROM pr
@@ -135,16 +139,16 @@ SQL: dict[str, str] = {
     "phi_by_part_pivot": f"WITH {GOLD}, {SPLIT} SELECT tag, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'dev') AS dev, count(*) FILTER (part = 'test') AS test FROM gold JOIN split ON doc = doc_id GROUP BY tag",
     "tokenize": f'WITH {TOKENS} SELECT doc AS doc_id, i, start, "end", text FROM tokens',
     "sentence_segments": f'WITH {TOKENS}, {SENTENCES} SELECT doc AS doc_id, sent_id, min(start) AS start, max("end") AS "end", count(*) AS n_tokens FROM sents GROUP BY ALL',
-    "word_shapes": f"WITH {TOKENS}, {ASCII_WORDS} SELECT {SHAPE} AS shape, count(*) AS n FROM words GROUP BY 1",
-    "token_context": f"WITH {TOKENS}, {SENTENCES} SELECT before, token, after, count(*) AS n FROM (SELECT lag(text, 1, '<PAD>') OVER w AS before, text AS token, lead(text, 1, '<PAD>') OVER w AS after FROM sents WINDOW w AS (PARTITION BY doc, sent_id ORDER BY i)) GROUP BY ALL HAVING count(*) > 1",
+    "word_shapes": f"WITH {TOKENS}, {WORDS} SELECT {SHAPE} AS shape, count(*) AS n FROM words GROUP BY 1",
+    "token_context": f"WITH {TOKENS}, {SENTENCES} SELECT before2, before, token, after, after2, count(*) AS n FROM (SELECT lag(text, 2, '<PAD>') OVER w AS before2, lag(text, 1, '<PAD>') OVER w AS before, text AS token, lead(text, 1, '<PAD>') OVER w AS after, lead(text, 2, '<PAD>') OVER w AS after2 FROM sents WINDOW w AS (PARTITION BY doc, sent_id ORDER BY i)) GROUP BY ALL",
     "token_features": f"WITH {TOKENS}, {SENTENCES}, s AS (SELECT doc, sent_id, count(*) AS sent_length, arg_max(text, i) AS sent_end, sum(CASE WHEN text IN ('(', '[', '{{') THEN 1 WHEN text IN (')', ']', '}}') THEN -1 ELSE 0 END) <> 0 AS unmatched_bracket FROM sents GROUP BY ALL) SELECT sent_length, sent_end, unmatched_bracket, sum(sent_length)::BIGINT AS n FROM s GROUP BY ALL",
-    "orthographic_flags": f"WITH {TOKENS}, {ASCII_WORDS} SELECT text = upper(text) AND text <> lower(text) AS is_upper, regexp_full_match(text, '[A-Z][^A-Z]*') AS is_title, regexp_full_match(text, '[0-9]+') AS is_digit, regexp_matches(text, '[0-9]') AS has_digit, left(text, 1) AS prefix1, right(text, 3) AS suffix3, count(*) AS n FROM words GROUP BY ALL",
-    "term_frequency": f"WITH {TOKENS}, {ASCII_WORDS} SELECT lower(text) AS term, count(*) AS tf, count(DISTINCT doc) AS df FROM words WHERE NOT starts_with(text, '===') GROUP BY 1",
-    "vocabulary_size": f"WITH {TOKENS}, {ASCII_WORDS} SELECT count(DISTINCT text) AS raw, count(DISTINCT lower(text)) AS normalised FROM words WHERE NOT starts_with(text, '===')",
+    "orthographic_flags": f"WITH {TOKENS}, {WORDS} SELECT regexp_matches(text, '{CAPITAL}') AND NOT regexp_matches(text, '\\p{{Ll}}') AS is_upper, regexp_full_match(text, '{OTHER}*{CAPITAL}\\p{{Ll}}*({OTHER}+{CAPITAL}\\p{{Ll}}*)*{OTHER}*') AS is_title, regexp_full_match(text, '\\p{{Nd}}+') AS is_digit, regexp_matches(text, '\\p{{Nd}}') AS has_digit, left(text, 1) AS prefix1, right(text, 3) AS suffix3, count(*) AS n FROM words GROUP BY ALL",
+    "term_frequency": f"WITH {TOKENS}, {WORDS} SELECT lower(text) AS term, count(*) AS tf, count(DISTINCT doc) AS df FROM words GROUP BY 1",
+    "vocabulary_size": f"WITH {TOKENS}, {WORDS} SELECT count(DISTINCT text) AS raw, count(DISTINCT lower(text)) AS normalised FROM words",
     "corpus_stats": f"WITH {TOKENS}, per AS (SELECT doc, count(*) AS tokens, count(*) FILTER (regexp_full_match(text, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+')) AS punctuation FROM tokens WHERE NOT regexp_full_match(text, '[\\x09-\\x0D\\x20]+') AND NOT starts_with(text, '===') GROUP BY doc), m AS (SELECT 'tokens' AS measure, tokens AS v FROM per UNION ALL SELECT 'punctuation', punctuation FROM per) SELECT measure, sum(v)::BIGINT AS total, avg(v) AS mean, median(v) AS median, stddev_pop(v) AS std FROM m GROUP BY measure",
-    "bio_encode": f"WITH {LABELLED} SELECT doc AS doc_id, i, start, \"end\", label FROM labels WHERE label <> 'O'",
-    "bio_to_biluo": f"WITH {LABELLED} SELECT doc AS doc_id, i, CASE WHEN starts_with(nxt, 'I') THEN label WHEN label[1] = 'B' THEN 'U' || substr(label, 2) ELSE 'L' || substr(label, 2) END AS biluo, label AS bio FROM (SELECT *, coalesce(lead(label) OVER (PARTITION BY doc ORDER BY i), '') AS nxt FROM labels) WHERE label <> 'O'",
-    "fix_dangling": f"WITH {LABELLED}, {DANGLING}, {REPAIRED} SELECT doc AS doc_id, i, label, fixed FROM repaired WHERE label <> 'O'",
+    "bio_encode": f"WITH {LABELLED} SELECT doc AS doc_id, i, start, \"end\", label FROM labels",
+    "bio_to_biluo": f"WITH {LABELLED} SELECT doc AS doc_id, i, CASE WHEN starts_with(nxt, 'I') OR label = 'O' THEN label WHEN label[1] = 'B' THEN 'U' || substr(label, 2) ELSE 'L' || substr(label, 2) END AS biluo, label AS bio FROM (SELECT *, coalesce(lead(label) OVER (PARTITION BY doc ORDER BY i), '') AS nxt FROM labels)",
+    "fix_dangling": f"WITH {LABELLED}, {DANGLING}, {REPAIRED} SELECT doc AS doc_id, i, label, fixed FROM repaired",
     "label_violations": f"WITH {LABELLED}, {DANGLING}, {REPAIRED} SELECT doc AS doc_id, i, label FROM repaired WHERE label <> fixed",
     "bio_to_spans": f"WITH {GOLD} SELECT doc AS doc_id, 'T' || (row_number() OVER (PARTITION BY doc ORDER BY start) - 1) AS ann_id, start, \"end\", tag FROM gold",
     "entity_metrics": f"WITH {GOLD}, {run('pred', 'run')} {scored('class_name', ENTITY)}",
@@ -156,7 +160,7 @@ SQL: dict[str, str] = {
 p AS (SELECT doc, start, "end", coalesce(coarse, tag) AS tag FROM pred LEFT JOIN flat ON fine = tag), g AS (SELECT doc, start, "end", coalesce(coarse, tag) AS c, max(tag) AS tag FROM gold LEFT JOIN flat ON fine = tag GROUP BY ALL)
 SELECT p.doc AS doc_id, p.start, p."end", coalesce(g.tag, p.tag) AS tag FROM p LEFT JOIN g ON p.doc = g.doc AND p.start = g.start AND p."end" = g."end" AND p.tag = g.c""",
     "run_summary": f"WITH {GOLD}, {run('a', 'a')}, {run('b', 'b')}, {SPLIT}, x AS (SELECT *, 'a' AS run_id FROM {both('gold', 'a')} UNION ALL SELECT *, 'b' FROM {both('gold', 'b')}), c AS ({scored('part, run_id', f'SELECT part, run_id, {COUNTS} FROM x JOIN split ON doc = doc_id GROUP BY part, run_id')}) SELECT * EXCLUDE (tn) FROM c",
-    "significance_test": f"WITH {GOLD}, {run('a', 'a')}, {run('b', 'b')}, {TRIALS}, o AS (SELECT metric, gap AS observed FROM gaps WHERE trial = 0) SELECT metric, observed, count(*) FILTER (gap >= observed) AS as_large, (count(*) FILTER (gap >= observed) + 1.0)::DOUBLE / 201 AS p_value FROM gaps JOIN o USING (metric) WHERE trial > 0 GROUP BY metric, observed",
+    "significance_test": f"WITH {GOLD}, {run('a', 'a')}, {run('b', 'b')}, {TRIALS}, o AS (SELECT metric, gap AS observed FROM gaps WHERE trial = 0) SELECT metric, observed, count(*) FILTER (gap >= observed) AS as_large, (count(*) FILTER (gap >= observed) + 1.0)::DOUBLE / 10000 AS p_value FROM gaps JOIN o USING (metric) WHERE trial > 0 GROUP BY metric, observed",
     "surrogate_id": f"SELECT c_custkey, {scramble('c_name', chr(39) + '42|' + chr(39) + ' || c_custkey || ' + chr(39) + '|ID|' + chr(39) + ' || c_name')} AS surrogate FROM customer",
     "surrogate_email": f"WITH {GOLD} SELECT doc AS doc_id, start, surrogate FROM ({EMAILS})",
     "surrogate_url": f"SELECT page_id, surrogate FROM ({url(chr(83) + 'ELECT page_id, url AS text, ' + chr(39) + '42|' + chr(39) + ' || page_id || ' + chr(39) + '|URL_IP|' + chr(39) + ' || url AS key FROM pages')})",
@@ -214,3 +218,74 @@ SQL["parse_locations"] = """WITH n AS (SELECT s_suppkey, s_suppkey % 4 AS k, s_s
 SELECT s_suppkey, ['Parallelweg ' || number || ', ' || code || ' Groenlo', 'Waterkant ' || number || '-2, Arnhem-Zuid', 'De singel te Haarlem Nederland', 'Groenlo (Duitsland)'][k + 1] AS text, ['', '', 'Nederland', 'Duitsland'][k + 1] AS country,
        CASE k WHEN 0 THEN code ELSE '' END AS zip_code, ['Groenlo', 'Arnhem-Zuid', 'te Haarlem', 'Groenlo'][k + 1] AS place, ['Parallelweg', 'Waterkant', 'De singel', ''][k + 1] AS street, [number, number || '-2', '', ''][k + 1] AS house_number FROM n"""
 SQL["training_fraction"] = f"WITH {TOKENS}, {SENTENCES} SELECT floor(count(*) * 0.25)::BIGINT AS n_sentences FROM (SELECT DISTINCT doc, sent_id FROM sents WHERE NOT regexp_full_match(text, '[\\x09-\\x0D\\x20]+'))"
+
+
+def phones(source: str) -> str:
+    """(all columns of source, surrogate): numbers by the numbering plan, place by place."""
+    lists = {n: "[" + ", ".join(f"'{c}'" for c in values) + "]" for n, values in DIAL.items()}
+    code = "CASE " + " ".join(f"WHEN area = {n} THEN {lists[n]}[1 + {draw("key || '|dial'", len(DIAL[n]))}]" for n in DIAL) + " ELSE '' END"
+    area = "CASE " + " ".join(f"WHEN list_contains({lists[n]}, substr(digits, trunk + 1, {n})) THEN {n}" for n in sorted(DIAL, reverse=True)) + " ELSE 0 END"
+    ahead = "length(regexp_replace(substr(body, 1, i - 1), '[^0-9]', '', 'g'))"
+    own = f"({ahead} - trunk - area)"
+    first = f"substr('123456789', 1 + {draw("key || '|0'", 9)}::INT, 1)"
+    rest = f"substr('0123456789', 1 + {draw(f"key || '|' || {own}", 10)}::INT, 1)"
+    place = f"CASE WHEN NOT regexp_full_match(body[i:i], '[0-9]') OR {ahead} < trunk THEN body[i:i] WHEN {ahead} < trunk + area THEN substr(code, {ahead} - trunk + 1, 1) WHEN {own} = 0 THEN {first} ELSE {rest} END"
+    return f"""SELECT * EXCLUDE (body, digits, trunk, area, code), CASE WHEN length(digits) >= 7 THEN array_to_string(list_transform(range(1, length(body) + 1), lambda i: {place}), '') || substr(text, length(body) + 1) END AS surrogate
+FROM (SELECT *, {code} AS code FROM (SELECT *, {area} AS area FROM (SELECT *, country + CASE WHEN substr(digits, country + 1, 1) = '0' THEN 1 ELSE 0 END AS trunk
+FROM (SELECT *, CASE WHEN starts_with(body, '+31') THEN 2 WHEN starts_with(body, '0031') THEN 4 ELSE 0 END AS country, regexp_replace(body, '[^0-9]', '', 'g') AS digits
+FROM (SELECT *, regexp_extract(text, '^[+0-9(][0-9()./ -]*') AS body FROM ({source}))))))"""
+
+
+PHONES = phones(f"SELECT *, {SPAN_KEY} AS key FROM gold WHERE tag = 'Phone_fax'")
+SURROGATES = f"""{GOLD}, made AS (
+  SELECT doc, start, "end", tag, text, surrogate FROM ({EMAILS}) UNION ALL SELECT doc, start, "end", tag, text, surrogate FROM ({CARDS})
+  UNION ALL SELECT doc, start, "end", tag, text, surrogate FROM ({IPS}) UNION ALL SELECT doc, start, "end", tag, text, surrogate FROM ({PHONES}))"""
+TABLE = """numbered AS (SELECT doc::VARCHAR AS doc_id, 'T' || row_number() OVER (PARTITION BY doc ORDER BY start) AS ann_id, text, start, "end", tag, surrogate FROM made)"""
+
+
+def spliced(fallback: str) -> str:
+    return f"""WITH {SURROGATES},
+cut AS (SELECT doc, start, "end", coalesce(lag("end") OVER (PARTITION BY doc ORDER BY start), 0) AS before, CASE WHEN coalesce(surrogate, '') = '' THEN {fallback} ELSE surrogate END AS put FROM made),
+whole AS (SELECT doc, string_agg(substr(d.text, before + 1, start - before) || put, '' ORDER BY start) AS head, max("end") AS last FROM cut JOIN documents d ON d.doc_id = doc GROUP BY doc)
+SELECT d.doc_id, coalesce(head || substr(d.text, last + 1), d.text) AS rewritten FROM documents d LEFT JOIN whole ON d.doc_id = doc"""
+
+
+SQL["span_surrogates"] = f"WITH {SURROGATES} SELECT doc AS doc_id, start, tag, text, surrogate FROM made"
+SQL["surrogate_documents"] = spliced("'[' || tag || ']'")
+SQL["errors_ignore"] = spliced("text")
+SQL["failed_replacements"] = f"WITH {SURROGATES} SELECT doc AS doc_id, start, tag, text FROM made WHERE coalesce(surrogate, '') = ''"
+SQL["rewrite_table"] = f"WITH {SURROGATES}, {TABLE} SELECT *, NULL::VARCHAR AS manual_surrogate, false AS checked FROM numbered"
+SQL["manual_override"] = f"WITH {SURROGATES}, {TABLE} SELECT doc_id, ann_id, CASE WHEN start % 3 = 0 THEN 'manual ' || ann_id ELSE surrogate END AS surrogate FROM numbered"
+NUMBERS = "SELECT c_custkey, text, '42|' || c_custkey || '|Phone_fax|' || text AS key FROM (SELECT c_custkey, '+31 ' || ['6', '20', '113'][1 + c_custkey % 3] || '-' || lpad(c_custkey::VARCHAR, 8, '7') AS text FROM customer)"
+SQL["surrogate_phone"] = f"SELECT c_custkey, text AS number, surrogate FROM ({phones(NUMBERS)})"
+SQL["rule_tags_rewritten"] = """WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS k, lpad(c_custkey::VARCHAR, 7, '1') AS n FROM customer)
+SELECT c_custkey, 29 AS start, (35 + length(k))::INT AS "end", 'Name' AS tag, 'Jansen' || k AS text FROM c
+UNION ALL SELECT c_custkey, (47 + length(k))::INT, (54 + length(k))::INT, 'ID', n FROM c"""
+SQL["dictionary_spans"] = r"""WITH w AS (
+  SELECT doc_id, i, h[i] AS word, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::INT AS start
+  FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}''’-]+') AS h, string_split_regex(text, '[\p{L}\p{N}''’-]+') AS g FROM documents))),
+n AS (SELECT doc_id, start, word, lead(word, 1) OVER o AS w1, lead(start + length(word), 1) OVER o AS e1, lead(word, 2) OVER o AS w2, lead(start + length(word), 2) OVER o AS e2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p(phrase, tag) AS (VALUES ('the of', 'A'), ('of the', 'A'), ('of the in', 'B'), ('de la', 'C'), ('der die', 'D')),
+hit AS (
+  SELECT doc_id, start, e1 AS "end", tag FROM n JOIN p ON p.phrase = lower(word || ' ' || w1) UNION ALL SELECT doc_id, start, e2, tag FROM n JOIN p ON p.phrase = lower(word || ' ' || w1 || ' ' || w2)),
+best AS (SELECT doc_id, start, max("end")::INT AS "end", arg_max(tag, "end") AS tag FROM hit GROUP BY ALL)
+SELECT b.doc_id, start, "end", tag, substr(d.text, start + 1, "end" - start) AS text FROM best b JOIN documents d USING (doc_id)"""
+SQL["inline_markup"] = """WITH c AS (SELECT c_custkey, c_name || ' ' || c_mktsegment AS person, c_custkey::VARCHAR AS k FROM customer),
+t AS (SELECT *, 'Naam ' || person || ' is < 9, nr ' || k || '.' AS plain FROM c)
+SELECT c_custkey, plain, 5 AS start, (5 + length(person))::INT AS "end", 'PERSOON' AS tag, person AS text FROM t
+UNION ALL SELECT c_custkey, plain, (17 + length(person))::INT, (17 + length(person) + length(k))::INT, 'ID', k FROM t"""
+SQL["plugged_tagger"] = SQL["detect_email"]
+SQL["merged_sentences"] = f"""WITH {LABELLED}, {DANGLING}, {SENTENCES},
+j AS (SELECT s.doc, s.i, s.start, s."end", s.sent_id, d.label, s.i = min(s.i) OVER (PARTITION BY s.doc, s.sent_id) AS first FROM sents s JOIN dangling d USING (doc, i)),
+m AS (SELECT *, greatest(0, sum((first AND label[1] <> 'I')::INT) OVER (PARTITION BY doc ORDER BY i) - 1)::INT AS merged FROM j)
+SELECT doc AS doc_id, merged AS sent_id, min(start) AS start, max("end") AS "end", count(*) AS n_tokens FROM m GROUP BY doc, merged"""
+SQL["space_tokens"] = f"WITH {TOKENS} SELECT doc AS doc_id, '<SPACE>' AS text, 'O' AS label, count(*) AS n FROM tokens WHERE regexp_full_match(text, '\\s+') GROUP BY doc"
+SQL["escaped_blanks"] = f"WITH {TOKENS} SELECT regexp_replace(replace(text, chr(10), '#NEWLINE'), '\\s', '#SPACE', 'g') AS escaped, count(*) AS n FROM tokens GROUP BY 1"
+SQL["development_holdout"] = "SELECT doc_id, CASE WHEN r <= ceil(n * 0.2) THEN 'dev' ELSE 'train' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)"
+SQL["predefined_folds"] = f"WITH {SPLIT} SELECT *, CASE part WHEN 'train' THEN -1 ELSE 0 END AS fold FROM split WHERE part <> 'test'"
+TWO_BIO = f"{GOLD}, {run('run', 'run')}, {TOKENS}, {bio('g', 'gold')}, {bio('p', 'run')}, pairs AS (SELECT doc, i, g.label AS gold, p.label AS pred FROM g JOIN p USING (doc, i))"
+SQL["bio_report"] = f"""WITH {TWO_BIO}, names AS (SELECT gold AS label FROM pairs UNION SELECT pred FROM pairs),
+c AS (SELECT label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold = label) AS support, count(*) FILTER (pred = label) AS found FROM names JOIN pairs ON gold = label OR pred = label WHERE label <> 'O' GROUP BY label),
+r AS (SELECT *, CASE WHEN found > 0 THEN tp / found ELSE 0.0 END::DOUBLE AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END::DOUBLE AS r FROM c)
+SELECT label, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END::DOUBLE AS f1, support, (row_number() OVER (ORDER BY substr(label, 2), label[1]) - 1)::INT AS nth FROM r"""
+SQL["metric_lines"] = f"WITH entity AS ({SQL['entity_metrics']}) SELECT class_name, printf('%-20s\ttp: %-5d - fp: %-5d - fn: %-5d - tn: %-5d - precision: %.4f - recall: %.4f - accuracy: %.4f - f1-score: %.4f', class_name, tp, fp, fn, tn, precision, recall, accuracy, f1) AS line FROM entity"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NAME = r"([^/]+?)(\.[^./]*)?$"
@@ -104,3 +104,23 @@ def xml(spark: SparkSession, path: str) -> DataFrame:
     zipped = F.arrays_zip(get("id").alias("id"), tags.alias("kind"), get("start").alias("start"), get("end").alias("end"), get("text").alias("text"), get("TYPE").alias("type"))
     spans = F.transform(zipped, lambda z: F.struct(z["start"].cast("int").alias("start"), z["end"].cast("int").alias("end"), F.concat_ws(":", z["kind"], z["type"]).alias("tag"), z["text"].alias("text"), F.regexp_replace(z["id"], "^P", "T").alias("ann_id")))
     return rows.select("doc", F.xpath_string("value", F.lit("deIdi2b2/TEXT")).alias("text"), spans.alias("annotations"))
+
+
+def phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, ann_id, tag, start, end, text) of lines `patient record start end tag text`, parted by blanks; numbered from T1 in the order of their starts for each note.
+
+    Notes are named note-patient-record. Lines with fewer fields raise an error.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+", 6).alias("f"))
+    lines = lines.select(F.when(F.size("f") == 6, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("Not a phrase: "), F.array_join("f", " "))).cast("array<string>")).alias("f"))
+    field = lambda k: F.get("f", F.lit(k))
+    rows = lines.select(F.concat_ws("-", F.lit("note"), field(0), field(1)).alias("doc"), field(4).alias("tag"), field(2).cast("int").alias("start"), field(3).cast("int").alias("end"), field(5).alias("text"))
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("start", "end", "tag"))
+    return rows.select("doc", F.concat(F.lit("T"), number).alias("ann_id"), "tag", "start", "end", "text")
+
+
+def with_annotations(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc, text) with the annotations of their name; none: an empty array."""
+    per = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag", "text", "ann_id"))).alias("annotations"))
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,tag:string,text:string,ann_id:string>>)")
+    return docs.join(per, "doc", "left").withColumn("annotations", F.coalesce("annotations", empty))

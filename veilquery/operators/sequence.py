@@ -346,4 +346,5 @@ def annotate(docs: DataFrame, id_col: str, model: Model, language: str = "plain"
     found = predict(tok.sentences(tok.tokenize(docs, id_col, language=language)), model)
     # white space inside an entity carries its label on, so that spans stay whole
     words = found.where(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != "")
+    words = words.withColumn("i", F.row_number().over(labels.within()))  # words stand next to each other without the white space
     return labels.to_spans(labels.repair(words).drop("label"), "fixed")

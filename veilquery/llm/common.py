@@ -48,6 +48,7 @@ def staged(df: DataFrame) -> DataFrame:
     _staged.append((spark, path))
     again = spark.read.schema(df.schema).parquet(path)
     again.staged_path = path
+    spark._jvm.System.gc()  # the shuffles behind the table are not read again; Spark deletes their files once the driver notices
     return again
 
 

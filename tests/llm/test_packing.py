@@ -57,3 +57,9 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_that_the_fast_encoder_gives_up_on():
+    encode, full = packing.encoder("byte_bpe_50k", packing.specials("byte_bpe_50k")), packing.full_encoder("byte_bpe_50k")
+    for text in (" " * 1_500_000 + "end", "x" * 300_000, "^" * 100_000, "a b  c\n\n\t d'll 漢字 é\u0301 \u00a0 12345"):
+        assert list(encode(text)) == full.encode(text, add_special_tokens=False).ids

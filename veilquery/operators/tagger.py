@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilquery.operators import detect
-
 #: The tags of the rule tagger, and the tags of the corpus that they stand for.
 TAG_MAP = {
     "PATIENT": "Name",
@@ -144,23 +143,69 @@ def rewritten(spans: Column, text: Column) -> Column:
     return without_prefixes(without_metadata_ids(mapped(spans), text))
 
 
-def dictionary(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str = "text", longest: int = 6) -> DataFrame:
+_LETTERS = re.compile(r"[\w'’-]+")
+
+
+def _lowered(text: str) -> list[str]:
+    """The words (letters, digits, apostrophes, hyphens) in lower case, each by itself."""
+    text = text.replace("_", " ")
+    low = text.lower()
+    if len(low) == len(text) and "Σ" not in text:  # else words could be cut or end otherwise
+        return _LETTERS.findall(low)
+    return [w.lower() for w in _LETTERS.findall(text)]
+
+
+def _runs(text: str, longest: int, firsts: frozenset | None, known: frozenset | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, words in lower case) of the runs of up to `longest` words that are known, or of all."""
+    low = _lowered(text)
+    at = range(len(low)) if firsts is None else [i for i, w in enumerate(low) if w in firsts]
+    hits = [(i, k) for i in at for k in range(i + 1, min(i + longest, len(low)) + 1) if known is None or " ".join(low[i:k]) in known]
+    if hits:
+        places = [m.span() for m in _LETTERS.finditer(text.replace("_", " "))]
+        for i, k in hits:
+            yield places[i][0], places[k - 1][1], " ".join(low[i:k])
+
+
+def dictionary(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str = "text", longest: int = 6, held: int = 200_000) -> DataFrame:
     """(doc, start, end, tag, text): the places where phrases (tag, phrase) of up to `longest` words stand, whatever their case; the longest from a place counts.
 
-    For institution lists and gazetteers of any size: runs of words are joined with the table by their lower-cased words. Phrases with
-    more words raise an error. Of ties between tags the least wins.
+    For institution lists and gazetteers of any size: runs of words are joined with the table by their lower-cased words; workers drop other
+    runs beforehand if there are `held` phrases at most. Phrases with more words raise an error. Of ties between tags the least wins.
     """
-    split = r"[^\p{L}\p{N}'’-]+"
-    plain = lambda c: F.array_join(F.filter(F.split(F.lower(c), split), lambda w: w != ""), " ")
-    known = phrases.select(plain(F.col("phrase")).alias("phrase"), "tag").where("phrase <> ''")
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_lowered(p or "") for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in words], pa.string()), b.column(1)], ["phrase", "tag"])
+
+    known = phrases.select(F.col("phrase").cast("string"), F.col("tag").cast("string")).mapInArrow(plain, "phrase string, tag string").where("phrase <> ''")
     n = F.size(F.split("phrase", " "))
     known = known.groupBy("phrase").agg(F.min("tag").alias("tag")).withColumn("phrase", F.when(n <= longest, F.col("phrase")).otherwise(F.raise_error(F.concat(F.lit("Too long: "), "phrase")).cast("string")))
-    words = detect.matches(F.coalesce(F.col(text_col), F.lit("")), r"[\p{L}\p{N}'’-]+", "")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), words.alias("w"))
-    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda k: F.struct(i.alias("i"), k.alias("k"), F.lower(F.array_join(F.transform(F.slice("w", i + 1, k), lambda s: s["text"]), " ")).alias("phrase")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), runs))
-    at = rows.where("size(w) > 0").select("doc", "t", "w", F.explode(every).alias("x"))
-    ends = F.get("w", F.col("x.i") + F.col("x.k") - 1)["end"]
-    at = at.select("doc", F.get("w", F.col("x.i"))["start"].alias("start"), ends.alias("end"), "x.phrase", F.substring("t", F.get("w", F.col("x.i"))["start"] + 1, ends - F.get("w", F.col("x.i"))["start"]).alias("text"))
-    found = at.join(known, "phrase")
+    some = known.select("phrase").limit(held + 1).toArrow().column(0).to_pylist()
+    few = len(some) <= held
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(p.split(" ")[0] for p in some), frozenset(some)) if few else (None, None))
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int32(), pa.string(), pa.string()]
+        for b in batches:
+            rows, out = [], []
+
+            def packed(rows=rows, out=out, b=b) -> pa.RecordBatch:
+                columns = zip(*out, strict=True) if out else [()] * 4
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc", "start", "end", "phrase", "text"])
+
+            for row, text in enumerate(b.column(1)):
+                text = text.as_py() or ""
+                for start, end, phrase in _runs(text, longest, *shared.value):
+                    rows.append(row)
+                    out.append((start, end, phrase, text[start:end]))
+                    if len(out) == 1 << 16:
+                        yield packed()
+                        rows.clear()
+                        out.clear()
+            yield packed()
+
+    at = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).mapInArrow(run, f"doc {kind}, start int, end int, phrase string, text string")
+    found = at.join(F.broadcast(known) if few else known, "phrase")
     return found.groupBy("doc", "start").agg(F.max(F.struct("end", "tag", "text")).alias("s")).select("doc", "start", "s.*")

@@ -106,3 +106,14 @@ def test_loops_are_seen_whatever_their_period():
             text = " ".join([f"w{i}" for i in range(period)] * times).encode()
             assert abs(quality.measures(text, frozenset())[1][5] - share) < 0.01
             assert quality.votes(quality.measures(text, frozenset())[1]) >> quality.LABELLERS.index("loops") & 1
+
+
+def test_only_labelled_texts_are_split(spark, monkeypatch):
+    """No filter on the words moves below the join with the labelled documents, where it would split every text."""
+    plans, real = [], quality.staged
+    monkeypatch.setattr(quality, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    quality.learned_abuse(docs, labels, "doc_id", "text")
+    assert any("Generate explode" in p for p in plans)
+    assert not [line for p in plans for line in p.splitlines() if "Filter" in line and "split(" in line]

@@ -37,9 +37,9 @@ def learned_abuse(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     for k in range(4):
         single = single.withColumn("key", F.coalesce(F.get("least", F.lit(k)), "tk")).dropDuplicates(["key"])
     single = staged(single.select("lid", "tk", "toxic"))  # `sample` rows at most, but for repeated ids
-    texts = texts.drop("toxic").join(F.broadcast(single), ["lid", "tk"]).select("toxic", F.array_distinct("words").alias("words"))
+    texts = texts.drop("toxic").join(F.broadcast(single), ["lid", "tk"])
     total = single.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("bad")).first()
-    words = texts.select("toxic", F.explode("words").alias("w")).where("w <> ''")
+    words = texts.select("toxic", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''")  # exploded as a column, it would be tested for emptiness before the joins: all texts would be split
     counts = staged(words.groupBy("w").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("bad"), F.count(F.lit(1)).alias("n")).where("n >= 3"))
     wide = {r.n: r.c for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # `sample` values at most
     least, rate = 3, (total.bad or 0) / max(1, total.n)
